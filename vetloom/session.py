@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,24 @@ def get_spark(app: str = "vetloom", cores: str | int = "*", shuffle: int = 8) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each SparkContext, so that Python workers find it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vetloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="vetloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/vetloom.zip", "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, str(p.relative_to(home.parent)))
+    sc.addPyFile(f"{folder}/vetloom.zip")
+    sc._vetloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
