@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, split
+from . import bpe, neighbours, split
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_chunks(table(spark, sf_dir, "kb_index_chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "kb_index_chunks"))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "kb_index_chunks"), "cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 100 = 0")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
+    "p4_nearest": p4_nearest,
     "p7_ids": p7_ids,
 }
 
