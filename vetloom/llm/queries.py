@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, neighbours, split
+from . import bpe, mixing, neighbours, reading, split
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,27 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).rows()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).select("doc_id", "level")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {
