@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, neighbours, reading, split
+from . import bpe, mixing, neighbours, reading, split, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,23 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_chunks(table(spark, sf_dir, "kb_index_chunks"))
 
 
+def _truncation(spark: SparkSession, sf_dir: str) -> truncation.Truncation:
+    return truncation.Truncation(
+        [
+            ("questions", table(spark, sf_dir, "questions"), "question_id", "question_text", "ingest_source"),
+            ("kb_index_chunks", table(spark, sf_dir, "kb_index_chunks"), "id", "text", "ingest_source"),
+        ]
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncation(spark, sf_dir).found()
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncation(spark, sf_dir).report()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, sf_dir, "kb_index_chunks"))
 
@@ -45,6 +62,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
     "p7_ids": p7_ids,
