@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 FLUSH = 400_000
 #: Least share of ends after a pair of words, and least count of a word, to be trusted.
 ENDS, KNOWN = 0.05, 3
+#: Texts of so few tokens tell by their end too: set phrases that stand alone recur, cut-off ones hardly do.
+SHORT = 5
 #: Longest beginning of a word that is looked up.
 STEM = 48
 
@@ -55,6 +57,8 @@ def follow(texts: Iterable[DataFrame]) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 t = tokens(text)
+                if len(t) <= SHORT:
+                    t.append("\n")
                 isword = [x[0].isalnum() or x[0] == "_" for x in t]
                 before = ["^", *(x if w else "^" for x, w in zip(t, isword))]
                 seen.update(x for x, w in zip(zip(before, t, isword[1:]), isword) if w)

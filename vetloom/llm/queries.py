@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, neighbours, reading, split, truncation
+from . import bpe, mixing, neighbours, pairs, reading, split, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "kb_index_chunks"), "cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 100 = 0")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(pairs.pairs_of(table(spark, sf_dir, "questions"), table(spark, sf_dir, "kb_entries")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p2_report,
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_report": p8_report,

@@ -73,8 +73,9 @@ def limits(all_ends: DataFrame) -> DataFrame:
 class Truncation:
     """The ends of all texts of several tables (name, frame, key column, text column, source column), judged."""
 
-    def __init__(self, tables: list[tuple[str, DataFrame, str, str, str]]):
-        pairs = stored(endings.follow([t.select(text) for _, t, _, text, _ in tables]))
+    def __init__(self, tables: list[tuple[str, DataFrame, str, str, str]], also: list[DataFrame] | None = None):
+        """also: further texts, in their first column, that only the statistics of ends read."""
+        pairs = stored(endings.follow([t.select(text) for _, t, _, text, _ in tables] + (also or [])))
         parts = [ends(t, name, key, text, source) for name, t, key, text, source in tables]
         rows = parts[0]
         for p in parts[1:]:
