@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, neighbours, pairs, reading, split, truncation
+from . import bpe, canonical, mixing, neighbours, pairs, reading, split, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(pairs.pairs_of(table(spark, sf_dir, "questions"), table(spark, sf_dir, "kb_entries")))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.mapped(table(spark, sf_dir, "kb_documents"), table(spark, sf_dir, "doc_ref"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
     "p5_found": p5_found,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
