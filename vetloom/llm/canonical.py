@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MAX_LABELS = 50_000
 #: Candidates that are aligned, least cosine, most cost for each letter of the value, least lead over the second, most cost less lead.
-CANDIDATES, LEAST_COSINE, COST, LEAD, BALANCE = 6, 0.12, 0.27, 0.03, 0.17
+CANDIDATES, LEAST_COSINE, COST, LEAD, BALANCE = 6, 0.12, 0.25, 0.03, 0.17
 #: Cost of a letter that is left out inside a word, of a word's first letter, of all that follows after at least two letters.
 LEFT_OUT, FIRST_LEFT_OUT, REST_LEFT_OUT = 0.3, 0.9, 0.4
 
