@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import records_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records_queries.QUERIES}
+SQL: dict[str, str] = {**records_queries.SQL}
