@@ -45,29 +45,25 @@ FUNCTION_WORDS = {
 ABBREVIATIONS = "e.g i.e no nr z.B d.h p.ex p.ej etc bzw vgl ca núm cf vs"
 
 _STOPS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_ABBREVIATION = re.compile(r"\b(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS.split()) + r")\.", re.I)
-_NUMBER = re.compile(r"[A-Z]{1,3}[-.]\d[\d.]*|\d[\d.,:]*")
-_END = re.compile(r"[.!?…。！？]+(?=\s|$)|[\n\r|]+")
-_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_NOT_AFTER = "".join(rf"(?<!\b{re.escape(a)}\.)" for a in ABBREVIATIONS.split())
+#: A word, or what ends a sentence: closing marks before white space, a line break, a cell's border.
+_UNIT = re.compile(rf"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?…。！？]+(?=\s|$){_NOT_AFTER}|[\n\r|]+")
+_ENDS = frozenset(".!?…。！？\n\r|")
 
 
 def profile(text: str) -> tuple[str, int, int]:
     """Language, share cell and length cell of a text."""
-    body = _NUMBER.sub("0", _ABBREVIATION.sub(" ", text))
-    sizes, lengths, seen = [], [], set()
-    for part in _END.split(body):
-        words = _WORD.findall(part)
-        if len(words) >= 3:
-            sizes.append(len(words))
-            lengths += map(len, words)
-        seen.update(words)
-    seen = {w.lower() for w in seen}
+    units = _UNIT.findall(text)
+    length = np.fromiter(map(len, units), np.int64, len(units))
+    end = np.fromiter((u[0] in _ENDS for u in units), bool, len(units))
+    size = np.diff(np.append(np.flatnonzero(end), len(units)), prepend=-1) - 1  # words between two ends
+    full = np.repeat(size >= 3, size + 1)[: len(units)] & ~end
+    seen = {u.lower() for u in set(units)}
     hits = {k: len(seen & v) for k, v in _STOPS.items()}
     lang = max(hits, key=hits.get)
-    if not lengths:
-        lengths, sizes = [0], [1]
-    share = sum(n >= LONG for n in lengths) / len(lengths)
-    return lang if hits[lang] > 1 else "", int(share / STEP_SHARE), int(np.log(len(lengths) / len(sizes)) / STEP_LENGTH)
+    words, sentences = int(full.sum()), int((size >= 3).sum())
+    share = float((length[full] >= LONG).sum()) / max(words, 1)
+    return lang if hits[lang] > 1 else "", int(share / STEP_SHARE), int(np.log(max(words, 1) / max(sentences, 1)) / STEP_LENGTH)
 
 
 def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
