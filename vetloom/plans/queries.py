@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records_queries, review_queries
+from . import library_queries, records_queries, review_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records_queries.QUERIES, **review_queries.QUERIES}
-SQL: dict[str, str] = {**records_queries.SQL, **review_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records_queries.QUERIES, **review_queries.QUERIES, **library_queries.QUERIES}
+SQL: dict[str, str] = {**records_queries.SQL, **review_queries.SQL, **library_queries.SQL}
