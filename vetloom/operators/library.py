@@ -188,7 +188,8 @@ def csv_file(header: list[str], lines: DataFrame, path: str, order: list[str]) -
 
     def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], ["line"])
-        yield from batches
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["line"])
 
     lines.orderBy(*order).select("line").mapInArrow(with_header, "line string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
