@@ -188,5 +188,7 @@ def mapped(docs: DataFrame, reference: DataFrame, key: str = "id", fields: tuple
     values = values.filter("document_id is not null").filter(F.col("value").rlike(r"[^\s\p{Z}]"))
     labels = docs.sparkSession.createDataFrame([(f, label) for f, r in lists.items() for _, label in r], "field string, value string").distinct()
     values = values.join(F.broadcast(labels), ["field", "value"], "left_anti").distinct()  # at most MAX_LABELS rows
-    known = values.select("field", "value").distinct().mapInArrow(run, "field string, value string, ref_id string")
+    # Matching costs far more than moving: the distinct values are spread over all tasks, however few bytes they are.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    known = values.select("field", "value").distinct().repartition(tasks).mapInArrow(run, "field string, value string, ref_id string")
     return values.join(known, ["field", "value"]).select("document_id", "field", "ref_id")
