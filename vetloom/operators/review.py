@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import stored
 from . import lexical
 
 LEXICAL_CANDIDATES, AGREEMENT = 25, 0.05
@@ -129,11 +130,12 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "ord", "passage_id")
     lex = lexical.scored(index, asked).filter(F.col("query_id") != F.col("passage_id"))
     lex = lex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LEXICAL_CANDIDATES)
-    lex = lex.select("query_id", "passage_id", F.col("score").alias("lexical"), "rank")
+    # Written once: the 25 best of each query are read by the exact cosines, the fusion and the matched terms.
+    lex = stored(lex.select("query_id", "passage_id", F.col("score").alias("lexical"), "rank"))
     sem = semantic_best(questions, chunks, lex).filter(F.col("query_id") != F.col("passage_id"))
     both = lex.join(sem, ["query_id", "passage_id"], "full")
     both = both.withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
-    both = both.withColumn("score", fused(F.col("lexical"), F.col("semantic"))).filter(F.col("score") > 0)
+    both = stored(both.withColumn("score", fused(F.col("lexical"), F.col("semantic"))).filter(F.col("score") > 0))
     terms = lexical.matched_terms(index, asked, both.filter(F.col("rank").isNotNull()))
     both = both.join(terms, ["query_id", "passage_id"], "left").withColumn("matched_on", F.coalesce("matched_on", F.array().cast("array<string>")))
     meta = chunks.select("passage_id", "ord", "source_type", "source_id", "source_name", "category", "question", "text", "page")
