@@ -84,3 +84,21 @@ def test_bm25_order(spark):
     q = spark.createDataFrame([("q", "firewall rules"), ("none", "of the")], "query_id string, text string")
     got = [(r.query_id, r.passage_id) for r in lexical.top(lexical.build(docs), q).orderBy("query_id", "place").collect()]
     assert got == [("q", "a"), ("q", "b")]
+
+
+def test_own_passage_does_not_stand_in_for_its_source(spark):
+    rows = [
+        ("q100", 0, "qa", "hot", "Hot", "", "alpha", "one", None, [1.0, 0.0]),
+        ("q101", 1, "qa", "hot", "Hot", "", "beta", "two", None, [0.9, 0.1]),
+        ("q102", 2, "qa", "hot", "Hot", "", "gamma", "three", None, [0.5, 0.5]),
+        ("q103", 3, "qa", "cold", "Cold", "", "delta", "four", None, [0.2, 0.8]),
+    ]
+    asked = spark.createDataFrame([("q100", "alpha", [1.0, 0.0])], "query_id string, text string, embedding array<double>")
+    # One partition for all and one for each: the own passage is in the same batch as the rest, or in another.
+    for parts in (1, 4):
+        c = spark.createDataFrame(rows, CHUNKS).repartition(parts, "ord")
+        cands = review.candidates(asked, c)
+        assert {r.passage_id for r in cands.collect()} == {"q101", "q103"}
+        assert [r.passage_id for r in review.alternatives(cands).orderBy("place").collect()] == ["q101", "q103"]
+        assert [r.passage_id for r in review.best_by_kind(cands).collect()] == ["q101"]
+        assert {r.passage_id for r in review.semantic_best(asked, c).collect()} == {"q100", "q103"}

@@ -49,12 +49,13 @@ def fused(lex: Column, sem: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(lex, sem) + AGREEMENT * F.least(lex, sem)), lexical.DIGITS)
 
 
-def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | None = None, own: bool = True) -> DataFrame:
     """(query_id, passage_id, semantic): of each question's vector, the best chunk of every source, and the given pairs.
 
     Only those can win anything later, as alternatives and citations take one chunk from a source. Question vectors are a
     stated set: they are sent to the chunks in blocks of a checked size, and each batch of chunks keeps its best per
-    source before anything is shuffled.
+    source before anything is shuffled. Without `own`, the passage that a question is itself (same id) is left out before
+    the best is taken, so that it doesn't stand in for the rest of its source.
     """
     spark = questions.sparkSession
     rows = questions.filter(V.usable_vector(F.col("embedding")).isNotNull()).select("query_id", "embedding").orderBy("query_id")
@@ -73,14 +74,20 @@ def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | No
     def best(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, unit, width = shared.value
+            asks: dict[str, list[int]] = {}
+            for i, name in enumerate(ids):
+                asks.setdefault(name, []).append(i)
             for batch in batches:
                 x, at = V.unit_rows(batch.column(4), width)
                 if not len(at):
                     continue
                 score = np.maximum(0.0, unit @ x.T)
-                own = batch.take(pa.array(at))
-                names = np.array([f"{a}\0{b}" for a, b in zip(own.column(2).to_pylist(), own.column(3).to_pylist())])
-                places = own.column(1).to_numpy()
+                kept = batch.take(pa.array(at))
+                if not own:
+                    for j, passage in enumerate(kept.column(0).to_pylist()):
+                        score[asks.get(passage, []), j] = 0  # as little as no similarity: never a hit
+                names = np.array([f"{a}\0{b}" for a, b in zip(kept.column(2).to_pylist(), kept.column(3).to_pylist())])
+                places = kept.column(1).to_numpy()
                 group = np.unique(names, return_inverse=True)[1]
                 order = np.lexsort((places, group))
                 first = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
@@ -94,7 +101,7 @@ def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | No
                     c.append(order[keep])
                 cols = np.concatenate(c) if c else np.zeros(0, np.int64)
                 qi = np.repeat(np.arange(len(ids)), [len(v) for v in c])
-                took = own.take(pa.array(cols))
+                took = kept.take(pa.array(cols))
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), *took.columns[:4], pa.array(np.round(score[qi, cols], lexical.DIGITS))], ["query_id", "passage_id", "ord", "source_type", "source_id", "semantic"])
 
         return src.mapInArrow(run, schema)
@@ -132,7 +139,7 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     lex = lex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LEXICAL_CANDIDATES)
     # Written once: the 25 best of each query are read by the exact cosines, the fusion and the matched terms.
     lex = stored(lex.select("query_id", "passage_id", F.col("score").alias("lexical"), "rank"))
-    sem = semantic_best(questions, chunks, lex).filter(F.col("query_id") != F.col("passage_id"))
+    sem = semantic_best(questions, chunks, lex, own=False)
     both = lex.join(sem, ["query_id", "passage_id"], "full")
     both = both.withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     both = stored(both.withColumn("score", fused(F.col("lexical"), F.col("semantic"))).filter(F.col("score") > 0))
