@@ -1,8 +1,8 @@
 """Mapping freely typed values to the entries of a reference list (problem 6).
 
 Distinct values are normalised (file endings, versions, remarks and separators go, joined words are taken apart), and
-candidates come from an inverted index of character trigrams, scored by weighted cosine. The best candidates are then
-checked by an alignment that forgives what people do to a label: typing errors cost one, letters left out of a word's
+candidates come from an inverted index of character trigrams, scored by weighted cosine. All candidates above the least
+cosine are then checked, the best first, unless the letters alone show that they can't come close, by an alignment that forgives what people do to a label: typing errors cost one, letters left out of a word's
 inside little (abbreviations), the last word may come first. A value is accepted if its alignment costs little enough and
 clearly less than that of any other entry; a short word may also be the initials of a single entry.
 
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELS = 50_000
-#: Candidates that are aligned, least cosine, most cost for each letter of the value, least lead over the second, most cost less lead.
-CANDIDATES, LEAST_COSINE, COST, LEAD, BALANCE = 6, 0.12, 0.25, 0.03, 0.17
+#: Least cosine of candidates, most cost for each letter of the value, least lead over the second, most cost less lead.
+LEAST_COSINE, COST, LEAD, BALANCE = 0.12, 0.25, 0.03, 0.17
 #: Cost of a letter that is left out inside a word, of a word's first letter, of all that follows after at least two letters.
 LEFT_OUT, FIRST_LEFT_OUT, REST_LEFT_OUT = 0.3, 0.9, 0.4
 
@@ -122,6 +122,7 @@ class Labels:
             if w:
                 self.refs.append(ref)
                 self.words.append(w)
+        self.letters = [Counter("".join(w)) for w in self.words]
         sets = [grams(list(w)) for w in self.words]
         count = Counter(g for s in sets for g in s)
         self.idf = {g: math.log(1 + len(sets) / n) for g, n in count.items()}
@@ -154,12 +155,16 @@ class Labels:
             for i, w in self.post.get(g, ()):
                 score[i] += w * self.idf[g]
         norm = math.sqrt(sum(self.idf.get(g, self.plain) ** 2 for g in own)) or 1.0
-        near = sorted(((s / norm, -i) for i, s in score.items() if s / norm >= LEAST_COSINE), reverse=True)[:CANDIDATES]
+        near = sorted(((s / norm, -i) for i, s in score.items() if s / norm >= LEAST_COSINE), reverse=True)
         best = second = math.inf
         found = None
+        has = Counter(joined)
         for _, i in near:
             w = self.words[-i]
-            most = 2 * COST * max(len(joined), 6)
+            # A label that costs more than the second so far, or so much that the lead is full anyway, changes nothing.
+            most = min(2 * COST, second) * max(len(joined), 6)
+            if sum((has - self.letters[-i]).values()) > most:  # each letter that the label lacks costs one
+                continue
             cost = min(alignment(joined, w, most), alignment(joined, (w[-1], *w[:-1]), most) if len(w) > 1 else math.inf) / max(len(joined), 6)
             if cost < best:
                 best, second, found = cost, best, -i
