@@ -51,3 +51,27 @@ def test_copies_and_other_widths(spark):
 def test_empty(spark):
     df = spark.createDataFrame([("a", None, 3)], "id string, embedding array<double>, embedding_dims int")
     assert nb.similar_pairs(df).count() == 0 and nb.nearest(df, "true").count() == 0
+
+
+def test_nearest_of_copies_and_where_the_visits_fall_short(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(3000, 16))
+    vectors = {f"v{n:05d}": x[n] for n in range(3000)}
+    for n in range(3000, 3600, 50):
+        vectors[f"v{n:05d}"] = x[n - 2999]  # every second of these ids asks, its representative doesn't
+    df = spark.createDataFrame([(i, v.tolist(), 16) for i, v in vectors.items()], "id string, embedding array<double>, embedding_dims int").repartition(3)
+    asks = "cast(substring(id, 2) as int) % 100 = 0"
+    monkeypatch.setattr(nb, "MAX_VISITS", 1)
+    monkeypatch.setattr(nb, "LEAF_ROWS", 64)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 1000)
+    got = nb.nearest(df, asks, 5).collect()
+    assert {r.chunk_id for r in got} == {i for i in vectors if int(i[1:]) % 100 == 0}
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in {r.chunk_id for r in got}:
+        s = units @ (vectors[i] / np.linalg.norm(vectors[i]))
+        s[s > 1 - 1e-9] = -2
+        mine = {r.neighbour_id for r in got if r.chunk_id == i}
+        hits += len(mine & {f"v{n:05d}" for n in np.argsort(-s)[:5]})
+        assert len(mine) == 5
+    assert hits >= 0.95 * len(got)  # what the rounding to bytes exchanges at the fifth place

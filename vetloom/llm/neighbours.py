@@ -4,7 +4,8 @@ A hierarchical k-means tree is fitted on a bounded sample for each vector width;
 falls into. A query walks the tree best bin first: a priority queue holds the open nodes by their cosine to the query,
 the best is opened, and leaves are visited in the order they come up. How many leaves a query visits is calibrated:
 sample queries are compared with all rows by brute force, and the visits are widened until the wanted share of their
-true neighbours lies in visited leaves. Queries and members of a leaf meet in one block matrix product per task.
+true neighbours lies in visited leaves; where MAX_VISITS leaves don't reach it, the width is searched exactly, each query
+meeting all vectors. Queries and members of a leaf meet in one block matrix product per task.
 
 Scale: exact copies are collapsed to one representative before anything else, so a group of copies of any size is one
 vector. Vectors travel as one byte per component. Leaves are fitted to hold about LEAF_ROWS vectors; a leaf that holds
@@ -35,7 +36,7 @@ SAMPLE_ROWS, LEAF_ROWS = 60_000, 512
 LEAF_SAMPLE, BRANCH, ROUNDS = 12, 16, 6
 #: Members of a leaf that one task compares with at once.
 BLOCK_ROWS = 8192
-#: Sample queries for the calibration, share of their neighbours to be found, most leaves a query may visit.
+#: Sample queries for the calibration, share of their neighbours to be found, most leaves a query visits before all are compared.
 CALIBRATION, RECALL, MAX_VISITS = 512, 0.995, 256
 #: Beyond this distance from the least cosine, the rounding to bytes cannot change on which side a pair lies.
 MARGIN = 0.012
@@ -183,7 +184,7 @@ class Index:
             self.sample[d] = (got["id"].to_pylist(), x)
 
     def calibrate(self, k: int, least: float, recall: float = RECALL) -> dict[int, int]:
-        """Leaves to visit by width, so that the share of the sample queries' true neighbours is reached."""
+        """Leaves to visit by width, so that the share of the sample queries' true neighbours is reached; 0 where MAX_VISITS miss it."""
         trees = self.spark.sparkContext.broadcast(self.trees)
         asked = {d: (ids[:: max(1, len(ids) // CALIBRATION)][:CALIBRATION], x[:: max(1, len(ids) // CALIBRATION)][:CALIBRATION]) for d, (ids, x) in self.sample.items()}
         shipped = self.spark.sparkContext.broadcast(asked)
@@ -228,14 +229,21 @@ class Index:
             at = (order[mine.q.to_numpy()] == mine.leaf.to_numpy()[:, None]).argmax(axis=1)
             at[order[mine.q.to_numpy(), at] != mine.leaf.to_numpy()] = MAX_VISITS
             share = np.cumsum(np.bincount(at, minlength=MAX_VISITS + 1)) / len(at)
-            visits[d] = int(min(np.searchsorted(share, recall) + 1, MAX_VISITS, tree.leaves))
+            need = int(np.searchsorted(share[:MAX_VISITS], recall)) + 1
+            visits[d] = min(need, tree.leaves) if need <= MAX_VISITS or tree.leaves <= MAX_VISITS else 0
         return visits
 
     def search(self, k: int = 10, least: float = -1.0, queries: str | None = None, recall: float = RECALL) -> DataFrame:
-        """(id, other, cosine double, place int): up to k nearest representatives of each, or of those that match the condition."""
+        """(id, other, cosine double, place int): up to k nearest representatives of each, or of those with a member that matches the condition."""
         visits = self.calibrate(k, least, recall)
-        trees = self.spark.sparkContext.broadcast(self.trees)
-        rows = self.rows.withColumn("asks", F.expr(queries) if queries else F.lit(True))
+        # One leaf for all vectors, which is cut into blocks that every query goes to, is the exact search.
+        fitted = {d: tree if visits[d] else Tree(np.zeros((1, tree.centres.shape[1]), np.float32), 1) for d, tree in self.trees.items()}
+        visits = {d: max(1, n) for d, n in visits.items()}
+        trees = self.spark.sparkContext.broadcast(fitted)
+        rows = self.rows.withColumn("asks", F.lit(True))
+        if queries:
+            asking = self.members.filter(queries).select(F.col("rep").alias("id")).distinct().withColumn("copy_asks", F.lit(True))
+            rows = self.rows.join(asking, "id", "left").select("id", "d", "code", (F.coalesce(F.expr(queries), F.lit(False)) | F.col("copy_asks").isNotNull()).alias("asks"))
 
         def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -257,7 +265,7 @@ class Index:
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(lists), pa.int32()), pa.array(start)], ["id", "d", "code", "asks", "leaf", "member"])
 
         sent = rows.mapInArrow(home, "id string, d int, code binary, asks boolean, leaf int, member boolean")
-        sizes = self._leaf_sizes()
+        sizes = self._leaf_sizes(fitted)
         blocks = {key: -(-n // BLOCK_ROWS) for key, n in sizes.items() if n > BLOCK_ROWS}
         if blocks:
             several = self.spark.createDataFrame([(d, leaf, n) for (d, leaf), n in blocks.items()], "d int, leaf int, n int")
@@ -302,9 +310,9 @@ class Index:
         w = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
         return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
-    def _leaf_sizes(self) -> dict[tuple[int, int], int]:
+    def _leaf_sizes(self, fitted: dict[int, Tree]) -> dict[tuple[int, int], int]:
         """Vectors by leaf; as many rows as the trees have leaves."""
-        trees = self.spark.sparkContext.broadcast(self.trees)
+        trees = self.spark.sparkContext.broadcast(fitted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -368,6 +376,15 @@ def _checked(chunks: DataFrame, doubt: DataFrame, least: float, key: str, vector
 
 
 def nearest(chunks: DataFrame, queries: str, k: int = 10, recall: float = 0.93) -> DataFrame:
-    """(chunk_id, place, neighbour_id, cosine): the k most similar distinct vectors of the queried representatives."""
-    found = Index(chunks).search(k, -1.0, queries, recall)
-    return found.select(F.col("id").alias("chunk_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 3).alias("cosine"))
+    """(chunk_id, place, neighbour_id, cosine): the k most similar distinct vectors of every id that matches the condition.
+
+    A distinct vector is named by the smallest id that has it; the asking vector itself, and so its copies, is not among
+    the neighbours. Copies that ask have the same neighbours.
+    """
+    index = Index(chunks)
+    found = index.search(k, -1.0, queries, recall)
+    copies = index.members.filter(queries).select(F.col("rep").alias("id"), F.col("id").alias("mine"))
+    # A representative may ask only for a copy: then it has no rows of its own.
+    mine = found.join(copies, "id", "left").withColumn("mine", F.coalesce("mine", "id"))
+    mine = mine.drop("id").withColumnRenamed("mine", "id").filter(queries)
+    return mine.select(F.col("id").alias("chunk_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 3).alias("cosine"))
