@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vetloom.operators import library as L
+from vetloom.plans import library_queries as LQ
 from vetloom.streaming import live
 
 
@@ -74,3 +75,18 @@ def test_sessions(spark):
     rows = [("a", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:00:01"), ("a", "2026-01-01 00:00:09"), ("b", "2026-01-01 00:00:00")]
     df = spark.createDataFrame(rows, "k string, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted((r.k, r.events) for r in live.coalesced(df, "k", "t").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_grid_cells_keep_quoted_delimiters(spark, tmp_path):
+    asks = ['Who must lock the doors, and what happens if the clerk is away?', 'Do you sign "all" changes, at night?', "Is data encrypted,\nat rest?"]
+    rows = [("f1", n + 1, d, f'{n + 1}{d or ","}Acme{d or ","}"' + q.replace('"', '""').replace(",", d or ",") + f'"{d or ","}Yes') for d in (",", None, ";") for n, q in enumerate(asks)]
+    rows = [(f"{f}{n // 3}", *r) for n, (f, *r) in enumerate(rows)] + [("f9", 1, ",", "1,two\nlines,x"), ("f9", 2, ",", ""), ("f9", 3, ",", None), ("f9", 4, "||", "a||b")]
+    spark.createDataFrame(rows, "file_id string, line_no int, delimiter string, record string").write.parquet(f"{tmp_path}/question_csv.parquet")
+    got = {}
+    for r in LQ.grid_cells(spark, str(tmp_path)).orderBy("workbook", "row_no", "col").collect():
+        got.setdefault((r.workbook, r.row_no), []).append(r.cell)
+        assert r.row_idx == r.row_no - 1
+    for k, d in enumerate((",", ",", ";")):
+        assert [got[f"f1{k}", n + 1] for n in range(3)] == [[str(n + 1), "Acme", q.replace(",", d), "Yes"] for n, q in enumerate(asks)]
+    assert {k: v for k, v in got.items() if k[0] == "f9"} == {("f9", 1): ["1", "two\nlines", "x"], ("f9", 2): [""], ("f9", 4): ["a", "b"]}
+    assert {r.text for r in LQ.grid_questions(spark, str(tmp_path)).filter("workbook = 'f10'").collect()} >= {asks[0], asks[1]}

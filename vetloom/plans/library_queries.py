@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ..operators import library as L
 from ..operators import passages as P
 from ..operators import questions as QO
 from ..session import table
+from ..sources.readers import record_cells
 from ..streaming import live
 
 NEEDLE, TAG, SPLIT_AT = "policy", "SOC 2", "2025-06-01"
@@ -65,8 +69,15 @@ def extraction_stats(spark, sf_dir):
 def grid_cells(spark, sf_dir):
     """The rows of the question files as workbooks: one sheet a file, cells in long form."""
     rec = table(spark, sf_dir, "question_csv")
-    parts = F.split("record", F.concat(F.lit("\\Q"), F.coalesce("delimiter", F.lit(",")), F.lit("\\E")))
-    c = rec.select(F.col("file_id").alias("workbook"), (F.col("line_no") - 1).alias("row_idx"), F.col("line_no").alias("row_no"), F.posexplode(parts).alias("col", "cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [record_cells(r, d) for r, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.string()))], ["file_id", "line_no", "parts"])
+
+    src = rec.filter("record is not null").select("file_id", F.col("line_no").cast("long").alias("line_no"), "record", F.coalesce("delimiter", F.lit(",")).alias("sep"))
+    rows = src.mapInArrow(run, "file_id string, line_no long, parts array<string>").withColumn("line_no", F.col("line_no").cast(rec.schema["line_no"].dataType))
+    c = rows.select(F.col("file_id").alias("workbook"), (F.col("line_no") - 1).alias("row_idx"), F.col("line_no").alias("row_no"), F.posexplode("parts").alias("col", "cell"))
     return c.select("workbook", F.lit(0).alias("sheet_ord"), F.lit("Questions").alias("sheet"), F.lit(False).alias("hidden"), "row_idx", "row_no", "col", "cell")
 
 
