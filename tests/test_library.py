@@ -90,3 +90,12 @@ def test_grid_cells_keep_quoted_delimiters(spark, tmp_path):
         assert [got[f"f1{k}", n + 1] for n in range(3)] == [[str(n + 1), "Acme", q.replace(",", d), "Yes"] for n, q in enumerate(asks)]
     assert {k: v for k, v in got.items() if k[0] == "f9"} == {("f9", 1): ["1", "two\nlines", "x"], ("f9", 2): [""], ("f9", 4): ["a", "b"]}
     assert {r.text for r in LQ.grid_questions(spark, str(tmp_path)).filter("workbook = 'f10'").collect()} >= {asks[0], asks[1]}
+
+
+def test_manifest_has_the_real_sizes(spark, tmp_path):
+    sizes = {"a": (0, "0 B"), "b": (1023, "1023 B"), "c": (1536, "2 KB"), "d": (1048575, "1024 KB"), "e": (3 * 1048576 // 2, "1.5 MB"), "f": (None, "0 B"), "g": (10 * 1048576, "10.0 MB")}
+    docs = [(i, "Policy.pdf", "Security", "2025-01-01", n, "", [], "", 1) for i, (n, _) in sizes.items()]
+    spark.createDataFrame(docs, "id string, name string, category string, doc_date string, size_bytes long, note string, tags array<string>, storage_path string, ingested_at long").write.parquet(f"{tmp_path}/kb_documents.parquet")
+    spark.createDataFrame([("k", "a", 1)], "id string, source_id string, ingested_at long").write.parquet(f"{tmp_path}/kb_index_chunks.parquet")
+    got = {r.id: r.line.split(",")[3].strip('"') for r in LQ.document_manifest(spark, str(tmp_path)).collect()}
+    assert got == {i: shown for i, (_, shown) in sizes.items()}

@@ -112,7 +112,7 @@ def pending_backfill(spark, sf_dir):
 
 
 def document_manifest(spark, sf_dir):
-    return L.manifest(docs(spark, sf_dir).withColumn("size_bytes", F.lit(0)), chunks(spark, sf_dir))
+    return L.manifest(docs(spark, sf_dir), chunks(spark, sf_dir))
 
 
 def answer_history_csv(spark, sf_dir):
