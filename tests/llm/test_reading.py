@@ -1,3 +1,5 @@
+import pytest
+
 from vetloom.llm import reading
 
 EASY = "The team reads the list. The guard locks the door. We keep the log. "
@@ -30,3 +32,16 @@ def test_profile_is_free_of_numbering():
     plain, noisy = reading.profile(EASY * 4), reading.profile((EASY * 4).replace("list.", "list (e.g. no. 7.2)."))
     assert plain == noisy and plain[0] == "en"
     assert reading.profile("12 34") == reading.profile("...")
+    assert reading.profile("The answer is no. We keep the log.")[2] == reading.profile("The answer is yes. We keep the log.")[2]
+    assert reading.profile((EASY + "See art. 7 of A-1.2, vgl. no. 3, etc. now. ") * 3) == reading.profile((EASY + "See of now. ") * 3)
+
+
+def test_values_are_harmonic(spark):
+    # Two graded ends and a few ungraded cells between them: values rise from one end to the other.
+    rows = [("en", n, 40, {0: 1.0, 8: 12.0}.get(n, 0.0), {0: 1, 8: 3}.get(n, 0), 0 if n in (0, 8) else 1) for n in range(9)]
+    cells, rounds, change = reading.propagated(spark.createDataFrame(rows, "lang string, a int, b int, ys double, graded long, rest long"), 0.01)
+    u = [r.u for r in cells.orderBy("a").collect()]
+    assert rounds > 2 and change <= 0.01 and 1 <= u[0] < 2 < 3 < u[-1] <= 4
+    assert all(x < y for x, y in zip(u, u[1:]))
+    with pytest.raises(RuntimeError):
+        reading.propagated(cells.drop("u"), 0.0, 1)

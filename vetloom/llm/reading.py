@@ -2,10 +2,10 @@
 
 Two documents are linked if their profiles are close: the share of long words and the logarithm of the mean sentence
 length, each on a fine grid, and the language. Graded documents are clamped to their level; every other one takes the
-weighted mean of its neighbours, round after round. Documents of one grid cell and language have the same neighbours and
-therefore the same value, so the graph is folded exactly to its cells: a cell carries the sum of its clamped levels and
-its numbers of graded and ungraded documents. Rounds run as aggregations over cells, whose number is bounded by the
-grid whatever the corpus holds; only profiling reads texts. Weak links at coarser grids, and to all languages, tie cells
+weighted mean of its neighbours, round after round, until no value moves by more than TOLERANCE. Documents of one grid
+cell and language have the same neighbours and therefore the same value, so the graph is folded exactly to its cells: a
+cell carries the sum of its clamped levels and its numbers of graded and ungraded documents. Rounds run as aggregations
+over cells, whose number is bounded by the grid whatever the corpus holds; only profiling reads texts. Weak links at coarser grids, and to all languages, tie cells
 without close neighbours to the rest.
 
 Defined results: null and empty texts and those below `least_words` get no row, nor do graded documents; graded levels
@@ -31,7 +31,8 @@ STEP_SHARE, STEP_LENGTH, LONG = 0.015, 0.05, 9
 SCALES = ((1, 4, 2.0, 1.0), (4, 2, 1.0, 1e-3), (16, 2, 1.0, 1e-5), (1 << 20, 0, 1.0, 1e-8))
 #: Weight of links across languages, and of an ungraded neighbour against a graded one.
 ACROSS, UNGRADED = 0.02, 0.25
-ROUNDS = 6
+#: Rounds end when the largest change of a value is below this; so many are allowed, and more are an error, not a cut.
+TOLERANCE, MOST_ROUNDS = 0.005, 200
 LEAST_WORDS = 40
 
 # Frequent function words by language.
@@ -41,19 +42,25 @@ FUNCTION_WORDS = {
     "fr": "le la les et des du est pour avec dans une un chaque que qui par sur au aux mais nous pas car puis en ce cette",
     "es": "el la los las y de del es para con en una un cada que por al pero no se su como porque luego lo nos",
 }
-# Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = "e.g i.e no nr z.B d.h p.ex p.ej etc bzw vgl ca núm cf vs"
+# Abbreviations that are no words and whose full stop ends no sentence; the second line's only before a number.
+ABBREVIATIONS = "e.g i.e z.B d.h p.ex p.ej etc bzw vgl ca cf vs"
+NUMBERING = "no nr núm art sec"
 
 _STOPS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_NOT_AFTER = "".join(rf"(?<!\b{re.escape(a)}\.)" for a in ABBREVIATIONS.split())
-#: A word, or what ends a sentence: closing marks before white space, a line break, a cell's border.
-_UNIT = re.compile(rf"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?…。！？]+(?=\s|$){_NOT_AFTER}|[\n\r|]+")
+_ANY, _NUMBERED = ("|".join(re.escape(a) for a in t.split()) for t in (ABBREVIATIONS, NUMBERING))
+#: Abbreviations and reference numbers (neither word nor end), words, and what ends a sentence: closing marks before white
+#: space, a line break, a cell's border.
+_UNIT = re.compile(
+    rf"(?<![^\W_])(?i:(?:{_ANY})\.|(?:{_NUMBERED})\.(?=\s*[0-9]))|(?:(?<![^\W_])[A-Z]{{1,3}}[-.])?[0-9]+(?:[.,:]+[0-9]+)*"
+    r"|[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?…。！？]+(?=\s|$)|[\n\r|]+"
+)
 _ENDS = frozenset(".!?…。！？\n\r|")
+_NOT_WORD = frozenset(".0123456789")
 
 
 def profile(text: str) -> tuple[str, int, int]:
     """Language, share cell and length cell of a text."""
-    units = _UNIT.findall(text)
+    units = [u for u in _UNIT.findall(text) if u[-1] not in _NOT_WORD or u[0] in _ENDS]
     length = np.fromiter(map(len, units), np.int64, len(units))
     end = np.fromiter((u[0] in _ENDS for u in units), bool, len(units))
     size = np.diff(np.append(np.flatnonzero(end), len(units)), prepend=-1) - 1  # words between two ends
@@ -99,20 +106,31 @@ def _keys(weighted: bool) -> F.Column:
     return F.array(*rows)
 
 
-def propagated(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """cells (lang, a, b, ys, graded, rest) with `u`: the value of their ungraded documents after so many rounds."""
-    cells = cut(cells.withColumn("u", F.lit(None).cast("double")))
+def propagated(cells: DataFrame, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> tuple[DataFrame, int, float]:
+    """cells (lang, a, b, ys, graded, rest) with `u`, the value of their ungraded documents, the rounds made and the last change.
+
+    The rounds stop when no value changes by more than the tolerance: then the values are harmonic but for that residual.
+    Links are written once, as (cell, cell sum of a scale, weight); a round sums the cells of each scale, then the links.
+    """
+    own = F.xxhash64("lang", "a", "b").alias("cell")
+    cells = cut(cells.withColumn("cell", own).withColumn("u", F.lit(None).cast("double")))
     reach = F.broadcast(cells.sparkSession.createDataFrame(_offsets(), "n int, i int, j int, k double"))  # 132 fixed rows
-    for _ in range(rounds):
+    node = F.xxhash64("n", "l", "x", "y").alias("node")
+    inside = stored(cells.select("cell", F.explode(_keys(False)).alias("c")).select("cell", "c.*").select("cell", node))
+    links = cells.select("cell", F.explode(_keys(True)).alias("c")).select("cell", "c.*").join(reach, "n")
+    links = links.select("cell", "n", "l", (F.col("x") - F.col("i")).alias("x"), (F.col("y") - F.col("j")).alias("y"), (F.col("w") * F.col("k")).alias("w"))
+    links = stored(links.select("cell", node, "w").join(inside.select("node").distinct(), "node", "left_semi"))
+    for n in range(most):
         open_ = F.when(F.col("u").isNull(), 0.0).otherwise(F.col("rest") * UNGRADED)
-        at = cells.select(F.explode(_keys(False)).alias("c"), (F.col("ys") + open_ * F.coalesce("u", F.lit(0.0))).alias("s"), (F.col("graded") + open_).alias("m"))
-        at = at.filter("m > 0").select("c.*", "s", "m").groupBy("n", "l", "x", "y").agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
-        spread = at.join(reach, "n").groupBy("n", "l", (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"))
-        spread = spread.agg(F.sum(F.col("k") * F.col("s")).alias("s"), F.sum(F.col("k") * F.col("m")).alias("m"))
-        ask = cells.select("lang", "a", "b", F.explode(_keys(True)).alias("c")).select("lang", "a", "b", "c.*")
-        new = ask.join(spread, ["n", "l", "x", "y"]).groupBy("lang", "a", "b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("m"))).alias("u"))
-        cells = cut(cells.drop("u").join(new, ["lang", "a", "b"], "left"))
-    return cells
+        mass = cells.select("cell", (F.col("ys") + open_ * F.coalesce("u", F.lit(0.0))).alias("s"), (F.col("graded") + open_).alias("m")).filter("m > 0")
+        at = inside.join(mass, "cell").groupBy("node").agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
+        new = links.join(at, "node").groupBy("cell").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("m"))).alias("u"))
+        cells = cut(cells.withColumnRenamed("u", "_u").join(new, "cell", "left"))
+        change = cells.agg(F.max(F.abs(F.col("u") - F.coalesce("_u", F.lit(0.0))))).first()[0] or 0.0
+        cells = cells.drop("_u")
+        if change <= tolerance:
+            return cells.drop("cell"), n + 1, change
+    raise RuntimeError(f"the levels still change by {change} after {most} rounds")
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", level: str = "level", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -121,7 +139,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     graded = labels.select(key, F.col(level).cast("double").alias("y")).filter("y between 1 and 4").groupBy(key).agg(F.avg("y").alias("y"))
     marked = labels.select(key).distinct()
     cells = known.join(graded, key, "left").groupBy("lang", "a", "b").agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("ys"), F.count("y").alias("graded"), F.sum(F.when(F.col("y").isNull(), 1).otherwise(0)).alias("rest"))
-    value = propagated(cells).select("lang", "a", "b", "u").filter("u is not null")
+    value = propagated(cells)[0].select("lang", "a", "b", "u").filter("u is not null")
     asked = known.filter(F.col("words") >= least_words).join(marked, key, "left_anti")
     out = asked.join(value, ["lang", "a", "b"])
     return out.select(key, F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.col("u") + 0.5))).cast("int").alias("level"), F.round("u", 4).alias("difficulty"))
