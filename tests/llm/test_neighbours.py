@@ -53,25 +53,59 @@ def test_empty(spark):
     assert nb.similar_pairs(df).count() == 0 and nb.nearest(df, "true").count() == 0
 
 
+def ten_nearest(vectors, asked, k):
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for i in asked:
+        s = x @ (vectors[i] / np.linalg.norm(vectors[i]))
+        s[ids.index(i)] = -2
+        out[i] = [ids[n] for n in np.argsort(-np.round(s, 12), kind="stable")[:k]]
+    return out
+
+
+def frame(spark, vectors, width):
+    return spark.createDataFrame([(i, [float(x) for x in v], width) for i, v in vectors.items()], "id string, embedding array<double>, embedding_dims int").repartition(3)
+
+
 def test_nearest_of_copies_and_where_the_visits_fall_short(spark, monkeypatch):
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(3000, 16))
     vectors = {f"v{n:05d}": x[n] for n in range(3000)}
     for n in range(3000, 3600, 50):
         vectors[f"v{n:05d}"] = x[n - 2999]  # every second of these ids asks, its representative doesn't
-    df = spark.createDataFrame([(i, v.tolist(), 16) for i, v in vectors.items()], "id string, embedding array<double>, embedding_dims int").repartition(3)
     asks = "cast(substring(id, 2) as int) % 100 = 0"
     monkeypatch.setattr(nb, "MAX_VISITS", 1)
     monkeypatch.setattr(nb, "LEAF_ROWS", 64)
     monkeypatch.setattr(nb, "BLOCK_ROWS", 1000)
-    got = nb.nearest(df, asks, 5).collect()
-    assert {r.chunk_id for r in got} == {i for i in vectors if int(i[1:]) % 100 == 0}
-    units = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hits = 0
-    for i in {r.chunk_id for r in got}:
-        s = units @ (vectors[i] / np.linalg.norm(vectors[i]))
-        s[s > 1 - 1e-9] = -2
-        mine = {r.neighbour_id for r in got if r.chunk_id == i}
-        hits += len(mine & {f"v{n:05d}" for n in np.argsort(-s)[:5]})
-        assert len(mine) == 5
-    assert hits >= 0.95 * len(got)  # what the rounding to bytes exchanges at the fifth place
+    got = {}
+    for r in nb.nearest(frame(spark, vectors, 16), asks, 5).orderBy("chunk_id", "place").collect():
+        got.setdefault(r.chunk_id, []).append(r.neighbour_id)
+    assert got == ten_nearest(vectors, [i for i in vectors if int(i[1:]) % 100 == 0], 5)
+
+
+def test_second_tree_reaches_the_recall(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(40, 24))
+    vectors = {f"v{n:05d}": base[n % 40] + 0.5 * rnd.normal(size=24) for n in range(4000)}
+    monkeypatch.setattr(nb, "SAMPLE_ROWS", 400)
+    monkeypatch.setattr(nb, "CALIBRATION", 100)
+    monkeypatch.setattr(nb, "LEAF_ROWS", 32)
+    df = frame(spark, vectors, 24)
+    index = nb.Index(df)
+    (cells,) = index.cells.values()
+    assert cells.per > 1 and len(index.asked[24][0]) == 100
+    assert index.calibrate(10, -1.0, 0.95)[24] is not None
+    want = ten_nearest(vectors, [i for i in vectors if int(i[1:]) % 100 == 0], 10)
+    got = nb.nearest(df, "cast(substring(id, 2) as int) % 100 = 0", 10, 0.95).collect()
+    assert sum(r.neighbour_id in want[r.chunk_id] for r in got) >= 0.92 * 10 * len(want) and len(got) == 10 * len(want)
+
+
+def test_dense_group_is_ranked_in_full_precision(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    centre = rnd.normal(size=12)
+    vectors = {f"v{n:05d}": centre + 0.005 * rnd.normal(size=12) for n in range(120)}  # all within the error of half precision
+    vectors |= {f"w{n:05d}": rnd.normal(size=12) for n in range(200)}
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 50)
+    assert {tuple(r) for r in nb.similar_pairs(frame(spark, vectors, 12)).collect()} == exact(vectors, 0.90, 10)

@@ -1,17 +1,22 @@
 """The k most similar vectors of every vector (problem 4).
 
-A hierarchical k-means tree is fitted on a bounded sample for each vector width; every vector is indexed in the leaf it
-falls into. A query walks the tree best bin first: a priority queue holds the open nodes by their cosine to the query,
-the best is opened, and leaves are visited in the order they come up. How many leaves a query visits is calibrated:
-sample queries are compared with all rows by brute force, and the visits are widened until the wanted share of their
-true neighbours lies in visited leaves; where MAX_VISITS leaves don't reach it, the width is searched exactly, each query
-meeting all vectors. Queries and members of a leaf meet in one block matrix product per task.
+A hierarchical k-means tree is fitted on a bounded sample for each vector width; where the vectors outnumber what its
+leaves can hold, a second tree, fitted on what the sample's vectors differ from their leaves' centres, divides each leaf
+again, so the cells grow with the data while both trees stay bounded. Every vector is indexed in the cell it falls into.
+A query walks the trees best bin first: a priority queue holds the open nodes by their cosine to the query, the best is
+opened, and leaves are visited in the order they come up. How many a query visits is calibrated: held-out queries, which
+the trees were not fitted on, are compared with all rows by brute force, and the visits are widened until the wanted
+share of their true neighbours lies in visited cells; where MAX_VISITS cells don't reach it, the width is searched
+exactly, each query meeting all vectors. Queries and members of a cell meet in one block matrix product per task.
+
+Vectors travel in half precision, which moves a cosine by at most MARGIN. A query keeps k + SPARE candidates; those whose
+place or side of the least cosine that error could change are ranked again by full-precision cosines, and where even the
+spare candidates lie within the error of the k-th place (dense groups), the query meets its cells again in full precision.
 
 Scale: exact copies are collapsed to one representative before anything else, so a group of copies of any size is one
-vector. Vectors travel as one byte per component. Leaves are fitted to hold about LEAF_ROWS vectors; a leaf that holds
-more than BLOCK_ROWS (more data than the sample can resolve, or a dense spot) is cut into blocks that are searched in
-separate tasks, a query going to each of them. The driver sees the sample, the counts of the leaves and the calibration
-result, all of which are bounded by parameters.
+vector. A cell that holds more than BLOCK_ROWS (a dense spot) is cut into blocks that are searched in separate tasks, a
+query going to each of them. The driver sees the sample, the sizes of the crowded cells and the calibration result.
+Trees are fitted for the TREES most frequent widths; vectors of rarer ones all meet each other.
 
 Defined results: null, empty, non-finite, all-zero vectors and those whose length contradicts their stated width are
 left out; vectors are compared only within one width; ties go to the smaller id; repeated rows of one id are one vector.
@@ -30,16 +35,18 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Most vectors of one width that the tree is fitted on, and the vectors a leaf should hold.
-SAMPLE_ROWS, LEAF_ROWS = 60_000, 512
-#: Least sample vectors for each leaf, children of a node, rounds of k-means.
-LEAF_SAMPLE, BRANCH, ROUNDS = 12, 16, 6
-#: Members of a leaf that one task compares with at once.
+#: Most vectors of one width that its trees are fitted on, most bytes of all of them, and the vectors a cell should hold.
+SAMPLE_ROWS, SAMPLE_BYTES, LEAF_ROWS = 24_000, 128 << 20, 512
+#: Least sample vectors for each leaf, children of a node, rounds of k-means, widths that get trees.
+LEAF_SAMPLE, BRANCH, ROUNDS, TREES = 12, 16, 6, 16
+#: Members of a cell that one task compares with at once.
 BLOCK_ROWS = 8192
-#: Sample queries for the calibration, share of their neighbours to be found, most leaves a query visits before all are compared.
+#: Held-out queries of the calibration, share of their neighbours to be found, most cells a query visits before all are compared.
 CALIBRATION, RECALL, MAX_VISITS = 512, 0.995, 256
-#: Beyond this distance from the least cosine, the rounding to bytes cannot change on which side a pair lies.
-MARGIN = 0.012
+#: Half precision keeps 11 bits: a unit vector moves by at most 2**-11, a cosine by twice that.
+MARGIN = 0.001
+#: Candidates kept beyond the k-th.
+SPARE = 22
 
 
 class Tree:
@@ -64,6 +71,8 @@ class Tree:
                 todo.append((ids[-1], rows[parts[1] == k]))
             self.kids[node] = np.array(ids)
         self.centres, self.leaf, self.leaves = np.array(centres, np.float32), np.array(self.leaf), leaves
+        #: the centre of each leaf
+        self.middle = self.centres[np.argsort(np.where(self.leaf < 0, len(self.leaf), self.leaf), kind="stable")[:leaves]]
 
     def route(self, x: np.ndarray, visits: int) -> np.ndarray:
         """(rows, visits) leaves in the order a best-bin-first walk reaches them; -1 where the tree has no more."""
@@ -121,15 +130,49 @@ def _sum_by(out: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
     out[at[order][first]] = np.add.reduceat(x[order], first, axis=0)
 
 
-def units(codes: pa.Array) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+class Cells:
+    """A tree over unit vectors and, where `fine` is above 1, a second one over their differences from its leaves' centres."""
+
+    def __init__(self, x: np.ndarray, leaf: int, fine: int = 1):
+        self.tree, self.fine = Tree(x, leaf), None
+        if fine > 1:
+            self.fine = Tree(_unit(x - self.tree.middle[self.tree.route(x, 1)[:, 0]]), max(LEAF_SAMPLE, -(-len(x) // fine)))
+        self.per = self.fine.leaves if self.fine else 1
+
+    def second(self, x: np.ndarray, first: np.ndarray, visits: int) -> np.ndarray:
+        """(rows, visits) leaves of the second tree for vectors in these leaves of the first, -1 where there are no more."""
+        return self.fine.route(_unit(x - self.tree.middle[first]), visits) if self.fine else np.zeros((len(x), 1), np.int64)
+
+    def route(self, x: np.ndarray, visits: tuple[int, int]) -> np.ndarray:
+        """(rows, most visits) cells, the vector's own first; -1 where the trees have no more."""
+        first = self.tree.route(x, visits[0])
+        if not self.fine:
+            return first
+        out = []
+        for leaf in first.T:
+            inner = self.second(x, np.maximum(leaf, 0), visits[1])
+            out.append(np.where((leaf[:, None] < 0) | (inner < 0), -1, leaf[:, None] * self.per + inner))
+        return np.hstack(out)
+
+
+#: What stands in for the trees of a width that has none: one cell for all.
+FLAT = Cells(np.zeros((1, 1), np.float32), 1)
+
+
+def units(codes: pa.Array, kind: type = np.float16) -> np.ndarray:
     """Unit float vectors of packed ones of one width."""
     codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-    raw = np.frombuffer(b"".join(codes.to_pylist()), np.int8).astype(np.float32).reshape(len(codes), -1)
-    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    x = np.frombuffer(b"".join(codes.to_pylist()), kind).astype(np.float32 if kind is np.float16 else kind).reshape(len(codes), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def packed(chunks: DataFrame, key: str, vector: str, width: str) -> DataFrame:
-    """(id, d int, digest binary, code binary) of the usable vectors: one signed byte for each component."""
+    """(id, d int, digest binary, code binary) of the usable vectors: unit vectors in half precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +188,11 @@ def packed(chunks: DataFrame, key: str, vector: str, width: str) -> DataFrame:
                 top = np.abs(x).max(axis=1)
                 ok = np.isfinite(top) & (top > 0)
                 x, rows, top = np.ascontiguousarray(x[ok]), rows[ok], top[ok]
-                c = np.rint(x / top[:, None] * 127).astype(np.int8)
+                c = x / top[:, None]
+                c = (c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.float16)
                 at.append(rows)
                 d += [int(w)] * len(rows)
-                digest += [hashlib.blake2b(v, digest_size=16).digest() for v in x]
+                digest += [hashlib.blake2b(v, digest_size=16).digest() for v in x + 0.0]
                 code += [v.tobytes() for v in c]
             rows = np.concatenate(at) if at else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(d, pa.int32()), pa.array(digest, pa.binary()), pa.array(code, pa.binary())], ["id", "d", "digest", "code"])
@@ -164,6 +208,8 @@ class Index:
     def __init__(self, chunks: DataFrame, key: str = "id", vector: str = "embedding", width: str = "embedding_dims"):
         rows = stored(packed(chunks, key, vector, width))
         self.spark = chunks.sparkSession
+        #: (id, v): the vectors in full precision
+        self.raw = chunks.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
         per = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
         self.several = stored(per.filter("n > 1"))
         many = rows.join(self.several.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id"), F.first("d").alias("d"), F.first("code").alias("code"))
@@ -171,162 +217,231 @@ class Index:
         self.rows = rows.join(self.several.select("digest"), "digest", "left_anti").select("id", "d", "code").unionByName(many.select("id", "d", "code"))
         #: (rep, id) of all members of classes that hold more than one id
         self.members = rows.join(self.several.select("digest", "rep"), "digest").select("rep", "id").distinct()
-        counts = {r.d: r.n for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.trees, self.sample = {}, {}
-        for d, n in sorted(counts.items()):
-            part = rows.filter(F.col("d") == d).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * SAMPLE_ROWS / n)) + 1).select("digest", "id", "code").limit(SAMPLE_ROWS)
-            got = part.toArrow()
-            _, one = np.unique(np.array(got["digest"].to_pylist()), return_index=True)
-            got = got.take(pa.array(np.sort(one)))
-            x = units(got["code"])
+        counts = {r.d: r.n for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(TREES).collect()}
+        most = {d: min(SAMPLE_ROWS, max(LEAF_SAMPLE, SAMPLE_BYTES // (4 * d * len(counts)))) for d in counts}
+        chosen = F.lit(False)
+        for d, n in counts.items():
+            chosen = chosen | ((F.col("d") == d) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * (most[d] + CALIBRATION) / n)) + 1))
+        got = rows.filter(chosen).select("d", "digest", "id", "code").toArrow()
+        self.cells: dict[int, Cells] = {}
+        #: held-out queries of each width: their ids and vectors
+        self.asked: dict[int, tuple[list[str], np.ndarray]] = {}
+        dims = got["d"].to_numpy()
+        for d, n in counts.items():
+            part = got.take(pa.array(np.flatnonzero(dims == d)))
+            _, one = np.unique(np.array(part["digest"].to_pylist()), return_index=True)  # in order of the digests: shuffled
+            part = part.take(pa.array(one[: most[d] + CALIBRATION]))
+            x = units(part["code"])
+            held = min(CALIBRATION, len(x) // 4)
+            self.asked[d] = (part["id"].to_pylist()[:held], x[:held])
+            x = x[held:]
             leaves = max(1, min(n // LEAF_ROWS, len(x) // LEAF_SAMPLE))
-            self.trees[d] = Tree(x, max(LEAF_SAMPLE, len(x) // leaves))
-            self.sample[d] = (got["id"].to_pylist(), x)
+            self.cells[d] = Cells(x, max(LEAF_SAMPLE, len(x) // leaves), min(n // LEAF_ROWS // leaves, len(x) // LEAF_SAMPLE))
+
+    def calibrate(self, k: int, least: float, recall: float = RECALL) -> dict[int, tuple[int, int] | None]:
+        """Leaves to visit in the first and second tree, by width, so that the share of the held-out queries' true neighbours is reached.
 
-    def calibrate(self, k: int, least: float, recall: float = RECALL) -> dict[int, int]:
-        """Leaves to visit by width, so that the share of the sample queries' true neighbours is reached; 0 where MAX_VISITS miss it."""
-        trees = self.spark.sparkContext.broadcast(self.trees)
-        asked = {d: (ids[:: max(1, len(ids) // CALIBRATION)][:CALIBRATION], x[:: max(1, len(ids) // CALIBRATION)][:CALIBRATION]) for d, (ids, x) in self.sample.items()}
-        shipped = self.spark.sparkContext.broadcast(asked)
+        None where MAX_VISITS cells miss it. Where hardly any held-out query has a neighbour above the least cosine, the k
+        nearest count whatever their cosine.
+        """
+        shipped = self.spark.sparkContext.broadcast((self.cells, self.asked))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, asked = shipped.value
             best: dict[int, tuple] = {}
             for batch in batches:
                 dims = batch.column("d").to_numpy()
                 for d in np.unique(dims):
-                    ids, q = shipped.value[int(d)]
-                    rows = np.flatnonzero(dims == d)
-                    part = batch.take(pa.array(rows))
+                    if not len(asked.get(int(d), ((), ()))[0]):
+                        continue
+                    ids, q = asked[int(d)]
+                    part = batch.take(pa.array(np.flatnonzero(dims == d)))
                     x = units(part.column("code"))
-                    names = np.array(part.column("id").to_pylist(), dtype=object)
                     s = q @ x.T
-                    s[np.array(ids, dtype=object)[:, None] == names[None, :]] = -2
+                    s[np.array(ids, dtype=object)[:, None] == np.array(part.column("id").to_pylist(), dtype=object)[None, :]] = -2
                     top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-                    score = np.take_along_axis(s, top, 1)
-                    need = np.unique(top[score >= least])
-                    leaf = np.full(len(rows), -1)
-                    if len(need):
-                        leaf[need] = trees.value[int(d)].route(x[need], 1)[:, 0]
-                    score, home = np.where(score >= least, score, -2), leaf[top]
+                    score, vector = np.take_along_axis(s, top, 1), x[top]
                     if int(d) in best:
-                        score, home = np.hstack([best[int(d)][0], score]), np.hstack([best[int(d)][1], home])
-                        cut = np.argsort(-score, axis=1)[:, :k]
-                        score, home = np.take_along_axis(score, cut, 1), np.take_along_axis(home, cut, 1)
-                    best[int(d)] = (score, home)
-            for d, (score, home) in best.items():
+                        score, vector = np.hstack([best[int(d)][0], score]), np.concatenate([best[int(d)][1], vector], axis=1)
+                        keep = np.argsort(-score, axis=1)[:, :k]
+                        score, vector = np.take_along_axis(score, keep, 1), np.take_along_axis(vector, keep[:, :, None], 1)
+                    best[int(d)] = (score, vector)
+            for d, (score, vector) in best.items():
                 q, j = np.nonzero(score > -2)
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(q), pa.int32()), pa.array(q, pa.int32()), pa.array(score[q, j], pa.float32()), pa.array(home[q, j], pa.int32())], ["d", "q", "s", "leaf"])
+                home = cells[d].route(vector[q, j], (1, 1))[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(q), pa.int32()), pa.array(q, pa.int32()), pa.array(score[q, j], pa.float32()), pa.array(home, pa.int64())], ["d", "q", "s", "cell"])
 
-        near = self.rows.select("id", "d", "code").mapInArrow(run, "d int, q int, s float, leaf int")
+        near = self.rows.select("id", "d", "code").mapInArrow(run, "d int, q int, s float, cell long")
         near = near.withColumn("r", F.row_number().over(W.partitionBy("d", "q").orderBy(F.desc("s")))).filter(F.col("r") <= k).toPandas()
-        visits = {}
-        for d, tree in self.trees.items():
+        visits: dict[int, tuple[int, int] | None] = {}
+        for d, cells in self.cells.items():
             mine = near[near.d == d]
-            if mine.empty:
-                visits[d] = min(4, tree.leaves)
+            mine = mine[mine.s >= least] if (mine.s >= least).sum() >= min(64, len(mine)) else mine
+            if mine.empty:  # too few vectors to hold any out
+                visits[d] = None
                 continue
-            order = tree.route(asked[d][1], MAX_VISITS)
-            at = (order[mine.q.to_numpy()] == mine.leaf.to_numpy()[:, None]).argmax(axis=1)
-            at[order[mine.q.to_numpy(), at] != mine.leaf.to_numpy()] = MAX_VISITS
-            share = np.cumsum(np.bincount(at, minlength=MAX_VISITS + 1)) / len(at)
-            need = int(np.searchsorted(share[:MAX_VISITS], recall)) + 1
-            visits[d] = min(need, tree.leaves) if need <= MAX_VISITS or tree.leaves <= MAX_VISITS else 0
+            q, cell = mine.q.to_numpy(), mine.cell.to_numpy()
+            one = self._place(cells.tree.route(self.asked[d][1], MAX_VISITS)[q], cell // cells.per)
+            two = self._place(cells.second(self.asked[d][1][q], cell // cells.per, 64), cell % cells.per)
+            options = [(a * b, a, b) for b in sorted({*two[two < 64] + 1}) for a in range(1, MAX_VISITS // b + 1) if ((one < a) & (two < b)).mean() >= recall]
+            visits[d] = min(options)[1:] if options else None
         return visits
 
+    @staticmethod
+    def _place(order: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """At which place of its row's order each leaf comes up; MAX_VISITS where it does not."""
+        hit = order == leaf[:, None]
+        return np.where(hit.any(axis=1), hit.argmax(axis=1), MAX_VISITS)
+
     def search(self, k: int = 10, least: float = -1.0, queries: str | None = None, recall: float = RECALL) -> DataFrame:
-        """(id, other, cosine double, place int): up to k nearest representatives of each, or of those with a member that matches the condition."""
+        """(id, other, cosine double, place int): the k nearest representatives of each, or of those with a member that matches the condition.
+
+        Cosines above the least only; they are exact where a rank or the least cosine hangs on them, else to within MARGIN.
+        """
         visits = self.calibrate(k, least, recall)
-        # One leaf for all vectors, which is cut into blocks that every query goes to, is the exact search.
-        fitted = {d: tree if visits[d] else Tree(np.zeros((1, tree.centres.shape[1]), np.float32), 1) for d, tree in self.trees.items()}
-        visits = {d: max(1, n) for d, n in visits.items()}
-        trees = self.spark.sparkContext.broadcast(fitted)
+        # A width without trees, or whose visits miss the recall, has one cell, cut into blocks that every query goes to.
+        shipped = self.spark.sparkContext.broadcast({d: (c, visits[d]) for d, c in self.cells.items() if visits[d]})
         rows = self.rows.withColumn("asks", F.lit(True))
         if queries:
             asking = self.members.filter(queries).select(F.col("rep").alias("id")).distinct().withColumn("copy_asks", F.lit(True))
             rows = self.rows.join(asking, "id", "left").select("id", "d", "code", (F.coalesce(F.expr(queries), F.lit(False)) | F.col("copy_asks").isNotNull()).alias("asks"))
 
-        def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 dims, asks = batch.column("d").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
                 for d in np.unique(dims):
-                    part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                    mine = asks[dims == d]
-                    x = units(part.column("code"))
-                    first = trees.value[int(d)].route(x, 1)
-                    lists: list = [f[:1] for f in first]
-                    if mine.any():
-                        for n, leaves in zip(np.flatnonzero(mine), trees.value[int(d)].route(x[mine], visits[int(d)]), strict=True):
-                            lists[n] = np.append(first[n, 0], leaves[(leaves >= 0) & (leaves != first[n, 0])])
-                    size = np.fromiter(map(len, lists), np.int64, len(lists))
-                    take = np.repeat(np.arange(len(lists)), size)
-                    start = np.zeros(len(take), bool)
-                    start[np.cumsum(size) - size] = True
-                    out = part.select(["id", "d", "code", "asks"]).take(pa.array(take))
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(lists), pa.int32()), pa.array(start)], ["id", "d", "code", "asks", "leaf", "member"])
-
-        sent = rows.mapInArrow(home, "id string, d int, code binary, asks boolean, leaf int, member boolean")
-        sizes = self._leaf_sizes(fitted)
-        blocks = {key: -(-n // BLOCK_ROWS) for key, n in sizes.items() if n > BLOCK_ROWS}
-        if blocks:
-            several = self.spark.createDataFrame([(d, leaf, n) for (d, leaf), n in blocks.items()], "d int, leaf int, n int")
-            sent = sent.join(F.broadcast(several), ["d", "leaf"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-            own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-            sent = sent.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(own))))
-            sent = sent.withColumn("member", F.col("member") & (F.col("block") == own)).drop("n")
-        else:
-            sent = sent.withColumn("block", F.lit(0))
+                    cells, wide = shipped.value.get(int(d), (FLAT, (1, 1)))
+                    for mine, visit in ((asks, wide), (~asks, (1, 1))):
+                        rows = np.flatnonzero((dims == d) & mine)
+                        if len(rows):
+                            part = batch.take(pa.array(rows))
+                            at = cells.route(units(part.column("code")), visit)
+                            keep = at >= 0
+                            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep.sum(axis=1))), pa.int32()), pa.array(at[keep], pa.int64()))
+                            yield pa.RecordBatch.from_arrays([*part.select(["id", "d", "code", "asks"]).columns, lists], ["id", "d", "code", "asks", "cells"])
+
+        routed = stored(rows.mapInArrow(route, "id string, d int, code binary, asks boolean, cells array<long>"))
+        crowded = routed.groupBy("d", F.element_at("cells", 1).alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS)
+        several = self.spark.createDataFrame([(r.d, r.cell, -(-r.n // BLOCK_ROWS)) for r in crowded.collect()], "d int, cell long, n long")
+        near = stored(self._ranked(self._met(routed, several, k, least, np.float16), k + SPARE))
+        # Dense groups: the spare candidates are all within the error of the k-th place, so there may be more such.
+        at = F.max(F.when(F.col("place") == k, F.col("cosine"))).over(W.partitionBy("id"))
+        last = near.withColumn("kth", at).filter((F.col("place") == k + SPARE) & (F.col("cosine") >= F.col("kth") - 2 * MARGIN)).select("id")
+        dense = stored(last)
+        exact = near.limit(0)
+        if not dense.isEmpty():
+            cells = routed.join(dense, "id", "left_semi").select("d", F.explode("cells").alias("cell")).distinct()
+            some = routed.join(dense.withColumn("dense", F.lit(True)), "id", "left").withColumn("asks", F.col("dense").isNotNull()).drop("dense")
+            some = some.withColumn("cells", F.when(F.col("asks"), F.col("cells")).otherwise(F.slice("cells", 1, 1)))
+            need = some.select("id", "d", "asks", F.posexplode("cells").alias("pos", "cell")).join(cells, ["d", "cell"], "left_semi")
+            need = need.groupBy("id", "d", "asks").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda x: x["cell"]).alias("cells"))
+            exact = self._ranked(self._met(self._full(need), several, k, least, np.float64), k).select(near.columns)
+        rest = near.join(dense, "id", "left_anti")
+        # The others: full precision where the error could change who is among the k, or on which side of the least a pair lies.
+        w = W.partitionBy("id")
+        kth = F.max(F.when(F.col("place") == k, F.col("cosine"))).over(w)
+        rest = rest.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("cosine") >= F.col("kth") - 2 * MARGIN))
+        unsure = (F.count(F.lit(1)).over(w) > k) | (F.max((F.abs(F.col("cosine") - least) <= MARGIN).cast("int")).over(w) > 0) | F.lit(least <= -1)
+        rest = stored(rest.withColumn("unsure", unsure).drop("kth", "place"))
+        sure = rest.filter(~F.col("unsure")).drop("unsure")
+        again = self._cosines(rest.filter("unsure").select("id", "other"))
+        return self._ranked(sure.unionByName(again), k).unionByName(exact).filter(F.col("cosine") >= least)
+
+    def _full(self, rows: DataFrame) -> DataFrame:
+        """rows (id, d, ...) with `code`: their vectors in full precision."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                code = [(x / np.abs(x).max()).tobytes() for x in map(np.array, batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.binary())], ["id", "code"])
+
+        need = rows.select("id").distinct()
+        full = self.raw.join(need, "id", "left_semi").filter("v is not null and size(v) > 0").dropDuplicates(["id"]).mapInArrow(run, "id string, code binary")
+        return rows.join(full, "id")
+
+    def _met(self, routed: DataFrame, several: DataFrame, k: int, least: float, kind: type) -> DataFrame:
+        """(id, other, cosine): of each query the k + SPARE best members of each block of the cells it goes to."""
+        sent = routed.select("id", "d", "code", "asks", F.posexplode("cells").alias("pos", "cell"))
+        sent = sent.join(F.broadcast(several), ["d", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(1)))  # a row for each crowded cell
+        own = F.pmod(F.xxhash64("id"), F.col("n"))
+        sent = sent.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array(own))))
+        sent = sent.withColumn("member", (F.col("pos") == 0) & (F.col("block") == own)).select("id", "d", "code", "asks", "cell", "block", "member")
+        wanted, floor = k + SPARE, least - MARGIN
 
         def meet(table: pa.Table) -> pa.Table:
-            x = units(table["code"])
+            x = units(table["code"], kind)
             ids = np.array(table["id"].to_pylist(), dtype=object)
             mine = np.flatnonzero(table["member"].to_numpy())
             asks = np.flatnonzero(table["asks"].to_numpy())
+            name = np.unique(ids, return_inverse=True)[1]
             out: list = [[], [], []]
             for at in range(0, len(asks) if len(mine) else 0, 1024):
                 q = asks[at : at + 1024]
                 s = x[q] @ x[mine].T
-                s[ids[q][:, None] == ids[mine][None, :]] = -2
-                if least > -1:
-                    i, j = np.nonzero(s >= least)
+                s[name[q][:, None] == name[mine][None, :]] = -2
+                if floor > -1:
+                    i, j = np.nonzero(s >= floor)
                     score = s[i, j]
-                    order = np.lexsort((-score, i))
+                    order = np.lexsort((name[mine[j]], -score, i))
                     i, j, score = i[order], j[order], score[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    keep = (place < k) & (score > -2)
-                    i, j, score = i[keep], j[keep], score[keep]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < wanted
                 else:
-                    top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
+                    top = np.argpartition(-s, min(wanted, s.shape[1] - 1), axis=1)[:, :wanted]
                     i, j = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
                     score = s[i, j]
                     keep = score > -2
-                    i, j, score = i[keep], j[keep], score[keep]
+                i, j, score = i[keep], j[keep], score[keep]
                 out[0].append(ids[q[i]])
                 out[1].append(ids[mine[j]])
                 out[2].append(score)
             a, b, s = (np.concatenate(o) if o else np.zeros(0) for o in out)
             return pa.table({"id": pa.array(a.tolist(), pa.string()), "other": pa.array(b.tolist(), pa.string()), "cosine": pa.array(s.astype(np.float64), pa.float64())})
 
-        found = sent.groupBy("d", "leaf", "block").applyInArrow(meet, "id string, other string, cosine double")
+        return sent.groupBy("d", "cell", "block").applyInArrow(meet, "id string, other string, cosine double")
+
+    @staticmethod
+    def _ranked(found: DataFrame, k: int) -> DataFrame:
         w = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
-        return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+        return found.select("id", "other", "cosine").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
-    def _leaf_sizes(self, fitted: dict[int, Tree]) -> dict[tuple[int, int], int]:
-        """Vectors by leaf; as many rows as the trees have leaves."""
-        trees = self.spark.sparkContext.broadcast(fitted)
+    def _cosines(self, pairs: DataFrame) -> DataFrame:
+        """(id, other, cosine): the pairs with their cosines in full precision."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
             for batch in batches:
-                dims = batch.column("d").to_numpy()
-                for d in np.unique(dims):
-                    tree = trees.value[int(d)]
-                    leaf = tree.route(units(batch.column("code").take(pa.array(np.flatnonzero(dims == d)))), 1)[:, 0]
-                    total[int(d)] = total.get(int(d), 0) + np.bincount(leaf, minlength=tree.leaves)
-            for d, n in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(n), pa.int32()), pa.array(np.arange(len(n)), pa.int32()), pa.array(n, pa.int64())], ["d", "leaf", "n"])
-
-        got = self.rows.select("d", "code").mapInArrow(run, "d int, leaf int, n long").groupBy("d", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK_ROWS)
-        return {(r.d, r.leaf): r.n for r in got.collect()}
+                got = []
+                for u, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    x, y = np.array(u), np.array(v)
+                    x, y = x / np.abs(x).max(), y / np.abs(y).max()
+                    got.append(float(x @ y / np.sqrt((x @ x) * (y @ y))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["id", "other", "cosine"])
+
+        need = pairs.select("id").union(pairs.select("other")).distinct()
+        raw = stored(self.raw.join(need, "id", "left_semi").filter("v is not null and size(v) > 0").dropDuplicates(["id"]))
+        both = pairs.join(raw.select("id", F.col("v").alias("u")), "id").join(raw.select(F.col("id").alias("other"), "v"), "other")
+        return both.select("id", "other", "u", "v").mapInArrow(run, "id string, other string, cosine double")
+
+    def expanded(self, near: DataFrame, k: int, queries: str | None = None) -> DataFrame:
+        """(id, other, cosine, place): search()'s result for all ids, copies included, or for those that match the condition.
+
+        Of an id's neighbours, its own copies come first, the smallest ids before others; a neighbour that has copies is
+        followed by them.
+        """
+        heads = stored(_heads(self.members, k))
+        asked = self.members.filter(queries) if queries else self.members
+        own = asked.join(heads, "rep").select("id", F.posexplode(F.slice(F.filter("head", lambda x: x != F.col("id")), 1, k)).alias("pos", "other"))
+        own = own.select("id", "other", F.lit(1.0).alias("cosine"), (F.col("pos") + 1).alias("place"))
+        # Classes of copies: every member has the neighbours of its representative, behind its own copies.
+        size = heads.select(F.col("rep").alias("id"), (F.col("n") - 1).alias("copies"))
+        wide = near.select("id", "other", "cosine").join(size, "id", "left").filter(F.coalesce("copies", F.lit(0)) < k)
+        wide = wide.join(heads.select(F.col("rep").alias("other"), "head"), "other", "left")
+        wide = wide.select("id", "cosine", F.coalesce("copies", F.lit(0)).alias("copies"), F.explode(F.coalesce("head", F.array("other"))).alias("other"))
+        w = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
+        wide = wide.withColumn("place", (F.row_number().over(w) + F.col("copies")).cast("int")).filter(F.col("place") <= k)
+        wide = wide.join(self.members.select(F.col("rep").alias("id"), F.col("id").alias("mine")), "id", "left")
+        wide = wide.select(F.coalesce("mine", "id").alias("id"), "other", "cosine", "place")
+        out = own.unionByName(wide).filter("id <> other")
+        return out.filter(queries) if queries else out
 
 
 def similar_pairs(chunks: DataFrame, least: float = 0.90, k: int = 10, key: str = "id", vector: str = "embedding", width: str = "embedding_dims") -> DataFrame:
@@ -335,21 +450,7 @@ def similar_pairs(chunks: DataFrame, least: float = 0.90, k: int = 10, key: str
     Of more than k exact copies each has the k with the smallest ids.
     """
     index = Index(chunks, key, vector, width)
-    near = stored(index.search(k, least - MARGIN))
-    doubt = near.filter(F.abs(F.col("cosine") - least) <= MARGIN)
-    if not doubt.isEmpty():
-        near = near.filter(F.col("cosine") > least + MARGIN).unionByName(_checked(chunks, doubt, least, key, vector).select(near.columns))
-    heads = _heads(index.members, k)
-    own = index.members.join(heads, "rep").select("id", F.explode(F.slice(F.filter("head", lambda x: x != F.col("id")), 1, k)).alias("other"))
-    # Classes of copies: every member has the neighbours of its representative, behind its own copies.
-    size = heads.select(F.col("rep").alias("id"), (F.col("n") - 1).alias("copies"))
-    wide = near.join(size, "id", "left").filter(F.coalesce("copies", F.lit(0)) < k)
-    wide = wide.join(heads.select(F.col("rep").alias("other"), "head"), "other", "left")
-    wide = wide.select("id", "cosine", F.coalesce("copies", F.lit(0)).alias("copies"), F.explode(F.coalesce("head", F.array("other"))).alias("other"))
-    w = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    wide = wide.withColumn("r", F.row_number().over(w) + F.col("copies")).filter(F.col("r") <= k)
-    wide = wide.join(index.members.select(F.col("rep").alias("id"), F.col("id").alias("mine")), "id", "left").select(F.coalesce("mine", "id").alias("id"), "other")
-    pairs = own.unionByName(wide).filter("id <> other")
+    pairs = index.expanded(stored(index.search(k, least)), k)
     return pairs.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
@@ -363,28 +464,8 @@ def _heads(members: DataFrame, k: int) -> DataFrame:
     return head.join(part.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
 
 
-def _checked(chunks: DataFrame, doubt: DataFrame, least: float, key: str, vector: str) -> DataFrame:
-    """The doubtful pairs whose cosine in full precision is at least the least."""
-    need = doubt.select("id").union(doubt.select("other")).distinct()
-    raw = chunks.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")).join(need, "id", "left_semi").dropDuplicates(["id"])
-    both = doubt.join(raw, "id").join(raw.select(F.col("id").alias("other"), F.col("v").alias("u")), "other")
-
-    def dot(a: str, b: str) -> F.Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    return both.withColumn("cosine", dot("v", "u") / F.sqrt(dot("v", "v") * dot("u", "u"))).filter(F.col("cosine") >= least).drop("v", "u")
-
-
-def nearest(chunks: DataFrame, queries: str, k: int = 10, recall: float = 0.93) -> DataFrame:
-    """(chunk_id, place, neighbour_id, cosine): the k most similar distinct vectors of every id that matches the condition.
-
-    A distinct vector is named by the smallest id that has it; the asking vector itself, and so its copies, is not among
-    the neighbours. Copies that ask have the same neighbours.
-    """
+def nearest(chunks: DataFrame, queries: str, k: int = 10, recall: float = RECALL) -> DataFrame:
+    """(chunk_id, place, neighbour_id, cosine): the k most similar ids of every id that matches the condition, copies included."""
     index = Index(chunks)
-    found = index.search(k, -1.0, queries, recall)
-    copies = index.members.filter(queries).select(F.col("rep").alias("id"), F.col("id").alias("mine"))
-    # A representative may ask only for a copy: then it has no rows of its own.
-    mine = found.join(copies, "id", "left").withColumn("mine", F.coalesce("mine", "id"))
-    mine = mine.drop("id").withColumnRenamed("mine", "id").filter(queries)
-    return mine.select(F.col("id").alias("chunk_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 3).alias("cosine"))
+    found = index.expanded(stored(index.search(k, -1.0, queries, recall)), k, queries)
+    return found.select(F.col("id").alias("chunk_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
