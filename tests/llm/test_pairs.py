@@ -37,6 +37,10 @@ def test_defects(spark):
         7: ("Yes. The help desk reads the log �", "truncated"), 10: ("Sorry for the late reply: yes, the guard locks the fire door.", None), 11: ("Not applicable", None), 12: ("Not applicable", None),
         13: ("Yes. The guard locks the fire door", None),
     }
+    special |= {
+        21: ("Thank you for asking, however we must decline to provide these details.", "refusal"), 22: ("Nobody can disclose a password here because the guard locks the fire door and reads the log.", None),
+        23: ("Please ask us something else.", "refusal"), 24: ("Yes. " + "The guard locks the fire door, and the help desk reads the log. " * 60, None),
+    }
     for n, (answer, defect) in special.items():
         rows[n][4] = answer
         if defect:
@@ -44,6 +48,8 @@ def test_defects(spark):
     for n, form in ((14, "{}"), (15, "Q: {}"), (16, '"{}"')):
         rows[n][4] = form.format(rows[n][3])
         want["questions", str(n), 0] = "copy"
+    rows[25][4] = rows[25][3].replace("Do you", "Do we") + " -"
+    want["questions", "25", 0] = "copy"
     rows[17][4] = rows[17][3] + " The help desk formally documents each ticket."
     rows += [rows[3], [900, "pending", "web", "Do you?", None]]
     questions = spark.createDataFrame([(*r, 5) for r in rows], QUESTIONS)
@@ -66,3 +72,11 @@ def test_field_learns_a_chain():
     field.fit(xs, ys)
     right = np.mean([(field.tag(x) == y).mean() for x, y in zip(xs, ys)])
     assert right > np.mean([(x.argmax(1) == y).mean() for x, y in zip(xs, ys)]) + 0.05
+
+
+def test_counts_cover_all_pairs(spark):
+    rows = [(f"Who is it that the team of the firm asks for item{n % 3}?", "The plan is with the owner of the list." if n % 2 else None) for n in range(900)] + [(None, "Das ist der Plan für den Kunden mit der Liste.")] * 3
+    n, vocabulary, grams = pr.counts(spark.createDataFrame(rows, "question string, answer string"))
+    assert n == 900 and vocabulary["team"] == 900 and vocabulary["item1"] == 300 and "plan" not in vocabulary
+    assert grams["en"][" te"] == 900 and grams["en"][" ow"] == 450 and grams["de"][" ku"] == 3
+    assert pr.counts(spark.createDataFrame([], "question string, answer string"))[0] == 0
