@@ -94,7 +94,7 @@ def tail(text: str) -> tuple[str, str, str, bool]:
     t = text.rstrip()
     if not t:
         return "whole", "", "", False
-    if _ELLIPSIS.search(t) or _BROKEN.search(t[-48:]) or _ABBREVIATION.search(t[-48:]):
+    if _ELLIPSIS.search(t) or _BROKEN.search(t[-48:]) or _ABBREVIATION.search(t, max(t.rfind("("), 0)):  # what is broken has at most 41 characters
         return "cut", "", "", False
     if not (t[-1].isalnum() or t[-1] == "_"):
         return "whole", "", "", False
@@ -104,7 +104,7 @@ def tail(text: str) -> tuple[str, str, str, bool]:
     before = low[-2] if len(t) > 1 and (low[-2][0].isalnum() or low[-2][0] == "_") else "^"
     if any(c.isdigit() for c in low[-1]):
         return "whole", f"{before} {low[-1]}", low[-1], False
-    short_line = len(t) <= 5 and line != text.strip() and not t[0].islower() and t[0] not in "-*•|"
+    short_line = len(t) <= SHORT and line.strip() != text.strip() and not t[0].islower() and t[0] not in "-*•|"
     proper = before != "^" and t[-1][0].isupper() and len(t[-1]) > 3
     return "line" if short_line else "open", f"{before} {low[-1]}", low[-1], proper
 
@@ -129,5 +129,6 @@ def judged(ends: DataFrame, pairs: DataFrame, words: DataFrame, more: DataFrame)
     name = F.col("proper") & (seen > 0) & ~stem
     inside = F.when(stem, True).when(name, False).when(F.col("pw") + F.col("pm") > 0, rarely & unlikely).otherwise((seen > 0) & (F.col("wm") < ENDS * seen))
     verdicts = known.select("pair", "last", "proper", "verdict", F.when(F.col("verdict") == "line", stem & (F.length("last") > 1) & (seen < KNOWN)).otherwise(inside).alias("inside"))
-    out = ends.join(verdicts, ["pair", "last", "proper", "verdict"], "left")
-    return out.withColumn("cut", F.when(F.col("verdict") == "cut", True).otherwise(F.coalesce("inside", F.lit(False)))).drop("inside")
+    # Only ends that words must tell are joined: all others would share one empty key.
+    told = ends.filter("verdict in ('open', 'line')").join(verdicts, ["pair", "last", "proper", "verdict"], "left").withColumn("cut", F.coalesce("inside", F.lit(False))).drop("inside")
+    return told.unionByName(ends.filter("verdict not in ('open', 'line')").withColumn("cut", F.col("verdict") == "cut"))
