@@ -26,7 +26,7 @@ def book(sheets) -> bytes:
     files = {
         "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{DOC_REL}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}" state="{s}"/>' for i, (n, s, _) in enumerate(sheets)) + "</sheets></workbook>",
         "xl/_rels/workbook.xml.rels": REL.format("".join(f'<Relationship Id="r{i}" Target="{"/xl/" if i % 2 else ""}worksheets/s{i}.xml"/>' for i in range(len(sheets)))),
-        "xl/sharedStrings.xml": f'<sst xmlns="{MAIN}"><si><t>One</t></si><si><r><t>Rich </t></r><r><t>text</t></r></si><si><t>A &amp; B</t></si></sst>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{MAIN}"><si><t>Deck</t></si><si><r><t>Upper </t></r><r><t>hold</t></r></si><si><t>Rum &amp; rope</t></si></sst>',
     }
     for i, (_, _, rows) in enumerate(sheets):
         files[f"xl/worksheets/s{i}.xml"] = f'<worksheet xmlns="{MAIN}"><sheetData>' + "".join(f'<row r="{n}">{cells}</row>' for n, cells in rows) + "</sheetData></worksheet>"
@@ -37,18 +37,18 @@ def inline(ref, text):
     return f'<c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c>'
 
 
-QUESTIONS = ["Do you encrypt data at rest?", "Describe your incident response process.", "Is access reviewed at least once a year?", "Please provide evidence of penetration testing."]
+QUESTIONS = ["Are the ferry's door codes changed after each season?", "Describe how lost luggage lists are kept.", "Who may read the passenger register at night?", "Please attach the plan of the engine room."]
 
 
 def test_workbook_cells_and_questions(spark):
-    rows = [(1, inline("A1", "Vendor questionnaire")), (2, ""), (3, inline("A3", "Ref") + inline("C3", "Question") + inline("D3", "Response"))]
+    rows = [(1, inline("A1", "Harbour survey")), (2, ""), (3, inline("A3", "Ref") + inline("C3", "Question") + inline("D3", "Response"))]
     rows += [(4 + n, inline(f"C{4 + n}", q) + inline(f"A{4 + n}", f"Q{n}")) for n, q in enumerate(QUESTIONS)]
     rows += [(9, '<c r="A9" t="s"><v>2</v></c><c r="B9" t="s"><v>99</v></c><c r="D9" t="b"><v>1</v></c><c r="E9" t="e"><v>#REF!</v></c><c r="F9"><v>45000</v></c>')]
-    content = book([("Instructions", "visible", [(1, inline("A1", "Do you need help with this form?"))]), ("Full", "visible", rows), ("Old", "hidden", rows)])
+    content = book([("Instructions", "visible", [(1, inline("A1", "Can you reach the harbour office by phone?"))]), ("Full", "visible", rows), ("Old", "hidden", rows)])
     files = spark.createDataFrame([("w.xlsx", content), ("bad.xlsx", b"no archive")], "path string, content binary")
     cells = R.workbook_cells(files)
     last = {r.col: r.cell for r in cells.filter("sheet = 'Full' and row_no = 9").collect()}
-    assert last == {0: "A & B", 3: "TRUE", 5: "45000"}
+    assert last == {0: "Rum & rope", 3: "TRUE", 5: "45000"}
     (choice,) = QO.column_choice(cells).collect()
     assert (choice.sheet, choice.col, choice.hits, choice.header) == ("Full", 2, 4, "Question")
     found = QO.from_grid(cells).orderBy("index").collect()
@@ -75,14 +75,14 @@ def test_delimited():
 
 
 def test_questions_from_text(spark):
-    text = "SECURITY QUESTIONNAIRE\nPage 1 of 3\n1. Do you enforce multi-factor authentication for all administrative\naccess to systems?\n2) Describe your backup process.\nCC6.1 | Are logs reviewed at least weekly? | Yes/No | Comments\nVendor name | Acme\n3. Describe your backup process\n"
+    text = "HARBOUR SURVEY\nPage 4 of 9\n1. Do you lock the fuel store whenever no deckhand\nis on watch?\n2) Describe the route of mail bags.\nHB3.2 | Are life jackets counted once a month? | Yes/No | Comments\nVendor name | Fjordlines\n3. Describe the route of mail bags\n"
     df = spark.createDataFrame([("d", text), ("e", None), ("f", " \n ")], "doc_id string, text string")
     got = [r.text for r in QO.from_text(df).orderBy("index").collect()]
-    assert got == ["Do you enforce multi-factor authentication for all administrative access to systems?", "Describe your backup process.", "Are logs reviewed at least weekly?"]
+    assert got == ["Do you lock the fuel store whenever no deckhand is on watch?", "Describe the route of mail bags.", "Are life jackets counted once a month?"]
     (stats,) = QO.extraction_stats(df).collect()
     assert (stats.extracted, stats.duplicates) == (3, 1)
-    typed = spark.createDataFrame([("d", "1. First question?\n\n2) Second question?\nThird one")], "doc_id string, text string")
-    assert [r.text for r in QO.from_lines(typed).orderBy("index").collect()] == ["First question?", "Second question?", "Third one"]
+    typed = spark.createDataFrame([("d", "7. Which pier is ours?\n\n8) Which rope is spare?\nTide tables")], "doc_id string, text string")
+    assert [r.text for r in QO.from_lines(typed).orderBy("index").collect()] == ["Which pier is ours?", "Which rope is spare?", "Tide tables"]
 
 
 def test_passages(spark):
@@ -92,6 +92,8 @@ def test_passages(spark):
     got = P.passages(df).orderBy("chunk_index").collect()
     assert [r.chunk_index for r in got] == list(range(len(got))) and {r.page for r in got} == {1, 3}
     assert all(P.LEAST <= len(r.text) <= P.MOST for r in got) and all(r.text[0] in "Tx" for r in got)
+    long = spark.createDataFrame([("d", [(1, page * 200)])], "doc_id string, pages array<struct<page:int,text:string>>")
+    assert P.passages(long).count() > 300 and P.passages(long, most=300).count() == 300
 
 
 def test_names(spark):
