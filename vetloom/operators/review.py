@@ -50,12 +50,13 @@ def fused(lex: Column, sem: Column) -> Column:
 
 
 def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | None = None, own: bool = True) -> DataFrame:
-    """(query_id, passage_id, semantic): of each question's vector, the best chunk of every source, and the given pairs.
+    """(query_id, passage_id, semantic): of each question's vector, the best chunks of its ALTERNATIVES best sources, the best of each kind, and the given pairs.
 
-    Only those can win anything later, as alternatives and citations take one chunk from a source. Question vectors are a
-    stated set: they are sent to the chunks in blocks of a checked size, and each batch of chunks keeps its best per
-    source before anything is shuffled. Without `own`, the passage that a question is itself (same id) is left out before
-    the best is taken, so that it doesn't stand in for the rest of its source.
+    Only those can win anything later: alternatives take one chunk from each of so many sources, citations one of a kind,
+    and what words find is among the pairs. Question vectors are a stated set: they are sent to the chunks in blocks of a
+    checked size, and each batch of chunks keeps those few rows of a question before anything is shuffled. Without `own`,
+    the passage that a question is itself (same id) is left out before the best is taken, so that it doesn't stand in for
+    the rest of its source.
     """
     spark = questions.sparkSession
     rows = questions.filter(V.usable_vector(F.col("embedding")).isNotNull()).select("query_id", "embedding").orderBy("query_id")
@@ -87,7 +88,7 @@ def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | No
                     for j, passage in enumerate(kept.column(0).to_pylist()):
                         score[asks.get(passage, []), j] = 0  # as little as no similarity: never a hit
                 names = np.array([f"{a}\0{b}" for a, b in zip(kept.column(2).to_pylist(), kept.column(3).to_pylist())])
-                places = kept.column(1).to_numpy()
+                places, is_doc = kept.column(1).to_numpy(), np.array([x != "qa" for x in kept.column(2).to_pylist()])
                 group = np.unique(names, return_inverse=True)[1]
                 order = np.lexsort((places, group))
                 first = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
@@ -97,6 +98,9 @@ def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | No
                     top = np.maximum.reduceat(s, first)
                     hit = np.flatnonzero((s == np.repeat(top, np.diff(np.append(first, len(s))))) & (s > 0))
                     keep = hit[np.append(True, np.diff(group[order][hit]) != 0)] if len(hit) else hit
+                    keep = keep[np.lexsort((places[order[keep]], -s[keep]))]
+                    doc = is_doc[order[keep]]
+                    keep = keep[(np.arange(len(keep)) < ALTERNATIVES) | (doc & (np.cumsum(doc) == 1)) | (~doc & (np.cumsum(~doc) == 1))]
                     q += [ids[i]] * len(keep)
                     c.append(order[keep])
                 cols = np.concatenate(c) if c else np.zeros(0, np.int64)
@@ -117,7 +121,10 @@ def semantic_best(questions: DataFrame, chunks: DataFrame, pairs: DataFrame | No
             m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
             out = out.unionByName(best(spark.sparkContext.broadcast(([i for i, _ in same], m, width))))
     key = F.struct((-F.col("semantic")).alias("s"), "ord", "passage_id")
-    out = out.groupBy("query_id", "source_type", "source_id").agg(F.min_by(F.struct("passage_id", "semantic"), key).alias("b")).select("query_id", "b.*")
+    out = out.groupBy("query_id", "source_type", "source_id").agg(F.min_by(F.struct("passage_id", "ord", "semantic"), key).alias("b")).select("query_id", "source_type", "b.*")
+    first = [F.desc("semantic"), F.col("ord"), F.col("passage_id")]
+    out = out.withColumn("_p", F.row_number().over(W.partitionBy("query_id").orderBy(*first))).withColumn("_k", F.row_number().over(W.partitionBy("query_id", F.col("source_type") == "qa").orderBy(*first)))
+    out = out.filter((F.col("_p") <= ALTERNATIVES) | (F.col("_k") == 1)).select("query_id", "passage_id", "semantic")
     if pairs is not None and blocks:
         vectors = chunks.select("passage_id", F.col("embedding").cast("array<double>").alias("v"))
         exact = pairs.select("query_id", "passage_id").join(questions.select("query_id", F.col("embedding").alias("u")), "query_id").join(vectors, "passage_id")
@@ -134,11 +141,8 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     index = lexical.build(chunks.select("passage_id", "ord", passage_text().alias("text")))
     asked = questions.select("query_id", "text")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "ord", "passage_id")
-    lex = lexical.scored(index, asked).filter(F.col("query_id") != F.col("passage_id"))
-    lex = lex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LEXICAL_CANDIDATES)
     # Written once: the 25 best of each query are read by the exact cosines, the fusion and the matched terms.
-    lex = stored(lex.select("query_id", "passage_id", F.col("score").alias("lexical"), "rank"))
+    lex = stored(lexical.top(index, asked, LEXICAL_CANDIDATES, own=False).select("query_id", "passage_id", F.col("score").alias("lexical"), F.col("place").alias("rank")))
     sem = semantic_best(questions, chunks, lex, own=False)
     both = lex.join(sem, ["query_id", "passage_id"], "full")
     both = both.withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
@@ -225,7 +229,9 @@ def classified(questions: DataFrame, best: DataFrame, th: Thresholds = Threshold
 def reviewed(questions: DataFrame, chunks: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """The verdict on each question with its alternatives: the whole review."""
     cands = candidates(questions, chunks)
-    out = classified(questions, best_by_kind(cands), th)
+    empty = chunks.isEmpty()
+    semantic_on = not empty and not questions.filter(V.usable_vector(F.col("embedding")).isNotNull()).isEmpty()
+    out = classified(questions, best_by_kind(cands), th, semantic_on or empty, empty)
     alt = alternatives(cands, th)
     item = alt.withColumn("c", F.struct(*alt.columns))
     item = item.select("query_id", "place", suggestion("c", F.col("kind")).alias("s"))

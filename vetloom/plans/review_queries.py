@@ -53,7 +53,7 @@ def tokenize_passages(spark, sf_dir):
 
 
 def term_frequency(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings()
 
 
 def document_frequency(spark, sf_dir):
@@ -65,8 +65,8 @@ def corpus_stats(spark, sf_dir):
 
 
 def bm25_scores(spark, sf_dir):
-    s = lexical.scored(_index(spark, sf_dir), asked(spark, sf_dir))
-    return s.select("query_id", "passage_id", "matched", F.round("coverage", 6).alias("coverage"), F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+    s = lexical.top(_index(spark, sf_dir), asked(spark, sf_dir), review.LEXICAL_CANDIDATES)
+    return s.select("query_id", "passage_id", F.col("matched").cast("long").alias("matched"), F.round("coverage", 6).alias("coverage"), F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
 def lexical_topk(spark, sf_dir):
@@ -80,7 +80,7 @@ def matched_terms(spark, sf_dir):
 
 
 def phrase_bonus(spark, sf_dir):
-    return lexical.scored(_index(spark, sf_dir), asked(spark, sf_dir)).filter("phrase > 0").select("query_id", "passage_id", "phrase")
+    return lexical.top(_index(spark, sf_dir), asked(spark, sf_dir), review.LEXICAL_CANDIDATES).filter("phrase > 0").select("query_id", "passage_id", "phrase")
 
 
 def vector_validity(spark, sf_dir):
@@ -226,21 +226,25 @@ _VERDICT = (
 )"""
 )
 
+_TOP25 = ", lex25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, passage_id) AS place FROM lex) WHERE place <= 25)"
+
 SQL = {
     "tokenize_passages": _BASE + " SELECT passage_id, tokens FROM toks",
     "term_frequency": _BASE + " SELECT passage_id, token, tf FROM post",
     "document_frequency": _BASE + " SELECT token, df FROM df",
     "corpus_stats": _BASE + " SELECT n, round(mean_size, 6) AS mean_size FROM stats",
-    "bm25_scores": _ASKED + " SELECT query_id, passage_id, matched, round(coverage, 6) AS coverage, round(bm25, 6) AS bm25, round(score, 6) AS score FROM lex",
+    "bm25_scores": _ASKED + _TOP25 + " SELECT query_id, passage_id, matched, round(coverage, 6) AS coverage, round(bm25, 6) AS bm25, round(score, 6) AS score FROM lex25",
     "lexical_topk": _ASKED + " SELECT query_id, place, passage_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, passage_id) AS place FROM lex) WHERE place <= 10",
     "matched_terms": _ASKED
     + f""", top AS (SELECT query_id, passage_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, passage_id) AS place FROM lex) WHERE place <= 10
 ), m AS (SELECT top.query_id, top.passage_id, list_filter(qs.u, lambda x: list_contains(t.tokens, x)) AS matched_on FROM top JOIN qs USING (query_id) JOIN toks t USING (passage_id))
 SELECT query_id, passage_id, matched_on, {_shown_sql("matched_on", 4)} AS shown FROM m""",
-    "phrase_bonus": _ASKED + " SELECT query_id, passage_id, phrase FROM lex WHERE phrase > 0",
+    "phrase_bonus": _ASKED + _TOP25 + " SELECT query_id, passage_id, phrase FROM lex25 WHERE phrase > 0",
     "vector_validity": _BASE + _PAST + " SELECT passage_id, u IS NOT NULL AS usable FROM vec",
     "vector_report": _BASE + _PAST + " SELECT count(*) AS chunks, count(*) FILTER (u IS NOT NULL AND len(u) = width) AS comparable, count(*) FILTER (u IS NOT NULL AND len(u) <> width) AS stale, count(*) FILTER (u IS NULL) AS without_vector FROM vec, width",
-    "semantic_per_source": _BASE + _PAST + _SEM + " SELECT query_id, passage_id, round(semantic, 6) AS semantic FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type, source_id ORDER BY semantic DESC, ord, passage_id) AS p FROM sem WHERE semantic > 0) WHERE p = 1",
+    "semantic_per_source": _BASE + _PAST + _SEM + """, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type, source_id ORDER BY semantic DESC, ord, passage_id) AS p FROM sem WHERE semantic > 0) WHERE p = 1
+), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, ord, passage_id) AS a, row_number() OVER (PARTITION BY query_id, source_type = 'qa' ORDER BY semantic DESC, ord, passage_id) AS k FROM one)
+SELECT query_id, passage_id, round(semantic, 6) AS semantic FROM placed WHERE a <= 6 OR k = 1""",
     "hybrid_best": _CANDS + " SELECT query_id, source_type, passage_id, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic, round(score, 6) AS score, method, matched_on FROM best",
     "alternatives_per_source": _CANDS
     + """, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type, source_id ORDER BY score DESC, rank NULLS LAST, ord, passage_id) AS p FROM cand WHERE score >= 0.18) WHERE p = 1
