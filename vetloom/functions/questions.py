@@ -19,6 +19,7 @@ BOILERPLATE = r"(?i)^(section|part|appendix|annex|schedule|exhibit|table of cont
 # A trailing column for the answer.
 RESPONSE_COLUMN = r"(?i)\|[ \t]*(?:(?:yes[ \t]*\/[ \t]*no|yes|no|n\/?a|not applicable|response|answer|comments?|notes?|evidence|status|owner|attachments?)[ \t]*)?$"
 
+# Lengths, the least score, and what each signal counts.
 MIN_LENGTH, MAX_LENGTH, MIN_SCORE = 12, 700, 2
 SIGNALS = (("question mark", 3), ("requirement phrasing", 2), ("interrogative opening", 1), ("enumerated", 1), ("table row", 1), ("boilerplate", -4), ("too short", -2), ("too few words", -1), ("not prose", -2))
 
@@ -33,7 +34,7 @@ def spark_pattern(p: str) -> str:
 
 def trimmed(text: Column) -> Column:
     """Without white space at either end, as browsers see it."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++$", "")
 
 
 def filled(text: Column | str) -> Column:
@@ -54,10 +55,9 @@ def without_marker(line: Column) -> Column:
 
 
 def without_response_columns(text: Column) -> Column:
-    text = trimmed(text)
-    for _ in range(8):
-        text = trimmed(F.regexp_replace(text, RESPONSE_COLUMN, ""))
-    return text
+    """Up to eight answer columns at the end go, in one pass from the first of them."""
+    column = RESPONSE_COLUMN.removeprefix("(?i)").removesuffix("$").replace("[ \\t]*", "[ \\t]*+")
+    return trimmed(F.regexp_replace(trimmed(text), f"(?i)(?:{column}[{SPACE}]*+){{1,8}}$", ""))
 
 
 def tidy(text: Column) -> Column:
@@ -90,12 +90,19 @@ def scored(joined: Column, plain: Column, mark: Column) -> Column:
     )
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once: as a generator's output, filters above don't take them along and repeat them."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return rows.select("*", F.inline(F.array(made)))
+
+
 def with_scored(rows: DataFrame, joined: str, mark: str | None = None, into: str = "s") -> DataFrame:
-    """rows with a struct (text, score, signals) of the text in `joined`; the plain form is computed once, in a step of its own."""
+    """rows with a struct (text, score, signals) of the text in `joined`; the plain form and the struct are computed once."""
     mark_ = F.lit(None).cast("string") if mark is None else F.col(mark)
-    rows = rows.withColumn("_joined", trimmed(F.coalesce(joined, F.lit("")))).withColumn("_plain", without_response_columns(without_marker(F.col("_joined"))))
+    rows = _once(rows, _joined=trimmed(F.coalesce(joined, F.lit(""))))
+    rows = _once(rows, _plain=without_response_columns(without_marker(F.col("_joined"))))
     none = F.struct(F.lit("").alias("text"), F.lit(-5).alias("score"), F.array(F.lit("empty")).alias("signals"))
-    return rows.withColumn(into, F.when(F.col("_joined") == "", none).otherwise(scored(F.col("_joined"), F.col("_plain"), mark_))).drop("_joined", "_plain")
+    return _once(rows, **{into: F.when(F.col("_joined") == "", none).otherwise(scored(F.col("_joined"), F.col("_plain"), mark_))}).drop("_joined", "_plain")
 
 
 def truncated(text: Column) -> Column:

@@ -14,11 +14,16 @@ from ..functions import names as N
 from ..functions.questions import filled, trimmed
 
 
-def latest(rows: DataFrame, key: str | list[str], order: Column) -> DataFrame:
-    """The newest version of each record; partial aggregation keeps one row per key before the shuffle."""
+def latest(rows: DataFrame, key: str | list[str], order: Column, columns: list[str] | None = None) -> DataFrame:
+    """The newest version of each record; partial aggregation keeps one row per key before the shuffle.
+
+    The versions travel as structs, which hide from the scan what is read of them later: name the columns that are needed.
+    """
+    if columns is not None:
+        rows, order = rows.withColumn("_o", order).select(*columns, "_o"), F.col("_o")
     keys = [key] if isinstance(key, str) else key
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*(columns or rows.columns))
 
 
 # Index maintenance
@@ -26,9 +31,8 @@ def latest(rows: DataFrame, key: str | list[str], order: Column) -> DataFrame:
 
 def qa_rows(entries: DataFrame) -> DataFrame:
     """Index rows of the usable pairs of past questionnaires: question and answer are both non-blank."""
-    p = entries.select("id", "vendor", "entry_date", "industry", F.posexplode("qa_data").alias("pos", "pair"))
-    ok = filled("pair.text") & filled("pair.answer")
-    p = p.filter(ok).withColumn("chunk_index", (F.row_number().over(W.partitionBy("id").orderBy("pos")) - 1).cast("int"))
+    usable = F.filter("qa_data", lambda p: filled(p["text"]) & filled(p["answer"]))
+    p = entries.select("id", "vendor", "entry_date", "industry", F.posexplode(usable).alias("chunk_index", "pair"))
     named = F.array_join(F.filter(F.array(F.nullif("vendor", F.lit("")), F.nullif("entry_date", F.lit(""))), lambda x: x.isNotNull()), " · ")
     return p.select(
         F.lit("qa").alias("source_type"), F.col("id").alias("source_id"), F.coalesce(F.nullif(named, F.lit("")), F.lit("Previous questionnaire")).alias("source_name"), F.coalesce("industry", F.lit("")).alias("category"),
@@ -54,8 +58,8 @@ def pending(docs: DataFrame, entries: DataFrame, chunks: DataFrame) -> DataFrame
 
 
 def coverage(docs: DataFrame, entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: how much of the library is indexed."""
-    c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("embedding").isNull()).alias("without_vectors"), F.count_if(F.col("source_type") == "document").alias("document_chunks"), F.count_if(F.col("source_type") == "qa").alias("qa_chunks"))
+    """One row: how much of the library is indexed; chunks has `has_vector` in place of the vectors."""
+    c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(~F.col("has_vector")).alias("without_vectors"), F.count_if(F.col("source_type") == "document").alias("document_chunks"), F.count_if(F.col("source_type") == "qa").alias("qa_chunks"))
     p = pending(docs, entries, chunks).agg(F.count_if((F.col("state") == "pending") & (F.col("kind") == "document")).alias("pending_docs"), F.count_if(F.col("kind") == "entry").alias("pending_entries"), F.count_if(F.col("state") == "unindexable").alias("unindexable_docs"))
     return c.crossJoin(p)  # one row each
 
@@ -154,11 +158,14 @@ def export_bundle(entries: DataFrame, drafts: DataFrame, docs: DataFrame, chunks
 
 
 def export_counts(entries: DataFrame, drafts: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row of totals; drafts has `questions`, how many each holds, and chunks `has_vector` in place of the vectors."""
     q = questionnaires(entries, drafts).agg(F.count(F.lit(1)).alias("questionnaires"), F.count_if(F.col("status") == "complete").alias("completed"), F.count_if(F.col("status") == "in_progress").alias("in_progress"))
-    a = entries.agg(F.coalesce(F.sum(F.greatest(F.size("qa_data"), F.lit(0))), F.lit(0)).alias("answers"))
+    size = F.coalesce(F.size("qa_data"), F.lit(0))
+    a = entries.select(F.greatest(size, F.lit(0)).cast("long").alias("n")).unionByName(drafts.select(F.col("questions").cast("long").alias("n")))
+    a = a.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("answers"))  # of completed and unfinished questionnaires
     have = chunks.select(F.col("source_id").alias("id")).distinct().withColumn("has", F.lit(1))
     d = docs.join(have, "id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count("has").alias("indexed_documents"))
-    p = chunks.agg(F.count(F.lit(1)).alias("passages"), F.count("embedding").alias("passages_with_vectors"))
+    p = chunks.agg(F.count(F.lit(1)).alias("passages"), F.count_if("has_vector").alias("passages_with_vectors"))
     return q.crossJoin(a).crossJoin(d).crossJoin(p)  # one row each
 
 

@@ -15,8 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import questions as Q
+from ..session import cut
 
 STITCH_BELOW, ITEM_BELOW = 300, 400
+# Least mean score of a question column, weight of its header, rows that are scored, rows a header is looked for in, longest header cell.
 MIN_COLUMN_SCORE, HEADER_WEIGHT, SAMPLE_ROWS, HEADER_SCAN, HEADER_CELL = 1.2, 3, 400, 25, 40
 
 # Sheets that hold no questions, and header cells.
@@ -73,14 +75,33 @@ def extracted_items(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id string, ord int, joined string, marker string, lines int")
 
 
-def deduped(scored: DataFrame, group: list[str], order: str) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: str, into: str = "index") -> DataFrame:
+    """rows with their place within their group, from 0; a group may hold any share of the rows.
+
+    Rows are range-partitioned over group and order, so a large group spans many tasks; each adds what the tasks before it hold.
+    """
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    placed = cut(rows.repartitionByRange(n, group, order).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("_g"), F.col("_part").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each group and task
+    own = placed.withColumn("_own", F.row_number().over(W.partitionBy(group, "_part").orderBy(order)))
+    out = own.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_q")))
+    return out.withColumn(into, (F.col("_before") + F.col("_own") - 1).cast("int")).drop("_part", "_own", "_before", "_g", "_q")
+
+
+def deduped(scored: DataFrame, group: list[str], order: str, spread: bool = False) -> DataFrame:
     """One row for each text within its group, letters and digits only: the best score, else the earliest, at the first one's place.
 
-    Columns besides the key travel in a struct; partial aggregation collapses repeated texts before the shuffle.
+    Columns besides the key travel in a struct; partial aggregation collapses repeated texts before the shuffle. Groups
+    that may be of any size are to be `spread` over tasks when they are numbered; those of one document need not.
     """
     keyed = scored.withColumn("_key", Q.dedupe_key(F.col("text"))).filter("_key <> ''")
     row = F.struct(*[c for c in scored.columns if c not in group])
     best = keyed.groupBy(*group, "_key").agg(F.max_by(row, F.struct("score", -F.col(order))).alias("r"), F.min(order).alias("_first"))
+    if spread:
+        (name,) = group
+        return numbered(best.select(name, "r.*", "_first"), name, "_first").drop("_first")
     w = W.partitionBy(*group).orderBy("_first")
     return best.select(*group, "r.*", (F.row_number().over(w) - 1).alias("index"))
 
@@ -114,6 +135,7 @@ def kept_sheets(cells: DataFrame, include_hidden: bool = False) -> DataFrame:
     """(workbook, sheet_ord, sheet, keep, reason): sheets that are looked at, and why others are not."""
     s = cells.groupBy("workbook", "sheet_ord", "sheet").agg(F.max("hidden").alias("hidden"), F.count("cell").alias("filled"))
     out = F.when(F.col("hidden") & F.lit(not include_hidden), "hidden sheet").when(F.col("filled") == 0, "empty")
+    # What a sheet's name makes of it, and how that is told.
     named = F.col("sheet").rlike(Q.spark_pattern(SKIP_SHEET))
     s = s.withColumn("reason", out).withColumn("named", named & F.col("reason").isNull())
     other = F.max(F.col("reason").isNull() & ~F.col("named")).over(W.partitionBy("workbook"))

@@ -21,9 +21,9 @@ from ..streaming import live
 NEEDLE, TAG, SPLIT_AT = "policy", "SOC 2", "2025-06-01"
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, key: str = "id") -> DataFrame:
-    """A table with each record once, as last delivered."""
-    return L.latest(table(spark, sf_dir, name), key, F.col("ingested_at"))
+def once(spark: SparkSession, sf_dir: str, name: str, key: str = "id", columns: list[str] | None = None) -> DataFrame:
+    """A table, or some of its columns, with each record once, as last delivered."""
+    return L.latest(table(spark, sf_dir, name), key, F.col("ingested_at"), columns)
 
 
 def entries(spark, sf_dir):
@@ -34,8 +34,12 @@ def docs(spark, sf_dir):
     return once(spark, sf_dir, "kb_documents")
 
 
-def chunks(spark, sf_dir):
-    return once(spark, sf_dir, "kb_index_chunks")
+def chunks(spark, sf_dir, *columns):
+    """The chunks with these columns; has_vector stands for the vectors where only their being there counts."""
+    c = table(spark, sf_dir, "kb_index_chunks")
+    if "has_vector" in columns:
+        c = c.withColumn("has_vector", F.col("embedding").isNotNull())
+    return L.latest(c, "id", F.col("ingested_at"), ["id", *columns])
 
 
 def questions(spark, sf_dir):
@@ -44,18 +48,19 @@ def questions(spark, sf_dir):
 
 def drafts(spark, sf_dir):
     d = once(spark, sf_dir, "questionnaires")
-    done = L.status_counts(questions(spark, sf_dir)).select(F.col("questionnaire_id").alias("id"), "answered")
-    return d.join(done, "id", "left").withColumn("answered", F.coalesce("answered", F.lit(0)))
+    done = L.status_counts(once(spark, sf_dir, "questions", "question_id", ["question_id", "questionnaire_id", "answer_text", "status"])).select(F.col("questionnaire_id").alias("id"), "answered", "questions")
+    return d.join(done, "id", "left").fillna(0, ["answered", "questions"])
 
 
 def question_line_scores(spark, sf_dir):
-    q = questions(spark, sf_dir)
+    q = once(spark, sf_dir, "questions", "question_id", ["question_id", "question_text"])
     return Q.with_scored(q, "question_text").select("question_id", "s.*")
 
 
 def question_dedupe(spark, sf_dir):
-    s = Q.with_scored(questions(spark, sf_dir), "question_text").select("questionnaire_id", "question_id", "s.text", "s.score")
-    return QO.deduped(s, ["questionnaire_id"], "question_id").select("questionnaire_id", "question_id", "text", "score", "index")
+    q = once(spark, sf_dir, "questions", "question_id", ["question_id", "questionnaire_id", "question_text"])
+    s = Q.with_scored(q, "question_text").select("questionnaire_id", "question_id", "s.text", "s.score")
+    return QO.deduped(s, ["questionnaire_id"], "question_id", spread=True).select("questionnaire_id", "question_id", "text", "score", "index")
 
 
 def extract_questions(spark, sf_dir):
@@ -99,20 +104,20 @@ def qa_pairs(spark, sf_dir):
 
 
 def current_sources(spark, sf_dir):
-    c = L.current_sources(chunks(spark, sf_dir), docs(spark, sf_dir), entries(spark, sf_dir))
+    c = L.current_sources(chunks(spark, sf_dir, "source_type", "source_id", "source_name"), docs(spark, sf_dir), entries(spark, sf_dir))
     return c.select("id", "source_name", "source_date", "source_saved_at")
 
 
 def index_coverage(spark, sf_dir):
-    return L.coverage(docs(spark, sf_dir), entries(spark, sf_dir), chunks(spark, sf_dir))
+    return L.coverage(docs(spark, sf_dir), entries(spark, sf_dir), chunks(spark, sf_dir, "source_id", "source_type", "has_vector"))
 
 
 def pending_backfill(spark, sf_dir):
-    return L.pending(docs(spark, sf_dir), entries(spark, sf_dir), chunks(spark, sf_dir))
+    return L.pending(docs(spark, sf_dir), entries(spark, sf_dir), chunks(spark, sf_dir, "source_id"))
 
 
 def document_manifest(spark, sf_dir):
-    return L.manifest(docs(spark, sf_dir), chunks(spark, sf_dir))
+    return L.manifest(docs(spark, sf_dir), chunks(spark, sf_dir, "source_id"))
 
 
 def answer_history_csv(spark, sf_dir):
@@ -146,7 +151,7 @@ def questionnaire_progress(spark, sf_dir):
 
 
 def export_counts(spark, sf_dir):
-    return L.export_counts(entries(spark, sf_dir), drafts(spark, sf_dir), docs(spark, sf_dir), chunks(spark, sf_dir))
+    return L.export_counts(entries(spark, sf_dir), drafts(spark, sf_dir), docs(spark, sf_dir), chunks(spark, sf_dir, "source_id", "has_vector"))
 
 
 def export_nested_answers(spark, sf_dir):
@@ -154,7 +159,7 @@ def export_nested_answers(spark, sf_dir):
 
 
 def export_bundle(spark, sf_dir):
-    return L.export_bundle(entries(spark, sf_dir), drafts(spark, sf_dir), docs(spark, sf_dir), chunks(spark, sf_dir))
+    return L.export_bundle(entries(spark, sf_dir), drafts(spark, sf_dir), docs(spark, sf_dir), once(spark, sf_dir, "kb_index_chunks"))
 
 
 def _log(spark, sf_dir):
@@ -278,7 +283,7 @@ SELECT (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM c WHERE embeddi
     + """, have AS (SELECT DISTINCT source_id AS id FROM c WHERE source_id IS NOT NULL)
 SELECT 'document' AS kind, id, CASE WHEN coalesce(storage_path, '') <> '' THEN 'pending' ELSE 'unindexable' END AS state FROM d WHERE id NOT IN (SELECT id FROM have)
 UNION ALL SELECT 'entry', id, 'pending' FROM e WHERE id NOT IN (SELECT id FROM have) AND len(list_filter(qa_data, lambda x: regexp_matches(coalesce(x.answer, ''), '__NB__'))) > 0""",
-    "document_manifest": _T + f", x AS (SELECT d.*, array_to_string(coalesce(tags, []), '; ') AS t, CASE WHEN coalesce(storage_path, '') <> '' THEN 'stored' ELSE 'metadata only' END AS st, CASE WHEN id IN (SELECT source_id FROM c WHERE source_id IS NOT NULL) THEN 'searchable' ELSE 'not indexed' END AS ix FROM d) SELECT id, {_csv('name', 'category', 'doc_date', chr(39) + '0 B' + chr(39), 'note', 't', 'st', 'ix')} AS line FROM x",
+    "document_manifest": _T + f", x AS (SELECT d.*, array_to_string(coalesce(tags, []), '; ') AS t, CASE WHEN coalesce(size_bytes, 0) < 1024 THEN coalesce(size_bytes, 0) || ' B' WHEN size_bytes < 1048576 THEN CAST(round(size_bytes / 1024.0) AS BIGINT) || ' KB' ELSE printf('%.1f MB', size_bytes / 1048576.0) END AS sz, CASE WHEN coalesce(storage_path, '') <> '' THEN 'stored' ELSE 'metadata only' END AS st, CASE WHEN id IN (SELECT source_id FROM c WHERE source_id IS NOT NULL) THEN 'searchable' ELSE 'not indexed' END AS ix FROM d) SELECT id, {_csv('name', 'category', 'doc_date', 'sz', 'note', 't', 'st', 'ix')} AS line FROM x",
     "answer_history_csv": _T + f", x AS (SELECT id, vendor, entry_date, industry, array_to_string(coalesce(tags, []), '; ') AS t, confidence, unnest(qa_data) AS p, generate_subscripts(qa_data, 1) - 1 AS pos FROM e), y AS (SELECT *, p.text AS pt, p.answer AS pa, p.source AS ps FROM x) SELECT id, CAST(pos AS INTEGER) AS pos, {_csv('vendor', 'entry_date', 'industry', 't', 'confidence', 'pt', 'pa', 'ps')} AS line FROM y",
     "assessments_csv": _T + f", x AS (SELECT *, coalesce(progress, 0) || '%' AS pr, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved FROM n) SELECT id, {_csv('vendor', 'step', 'owner', 'assignee', 'pr', 'question_count', 'saved')} AS line FROM x",
     "library_filter": _T
@@ -289,7 +294,7 @@ UNION ALL SELECT 'entry', id FROM e WHERE list_contains(coalesce(tags, []), '{TA
     "questionnaires_union": _UNION + " SELECT * FROM u",
     "questionnaire_progress": _DRAFT + " SELECT id AS questionnaire_id, questions, answered, needs_input, flagged, CAST(floor(100 * answered / questions + 0.5) AS INTEGER) AS progress FROM g",
     "export_counts": _UNION
-    + """ SELECT (SELECT count(*) FROM u) AS questionnaires, (SELECT count(*) FROM e) AS completed, (SELECT count(*) FROM n) AS in_progress, (SELECT coalesce(sum(len(coalesce(qa_data, []))), 0) FROM e) AS answers, (SELECT count(*) FROM d) AS documents,
+    + """ SELECT (SELECT count(*) FROM u) AS questionnaires, (SELECT count(*) FROM e) AS completed, (SELECT count(*) FROM n) AS in_progress, CAST((SELECT coalesce(sum(len(coalesce(qa_data, []))), 0) FROM e) + (SELECT count(*) FROM q WHERE questionnaire_id IN (SELECT id FROM n)) AS BIGINT) AS answers, (SELECT count(*) FROM d) AS documents,
   (SELECT count(*) FROM d WHERE id IN (SELECT source_id FROM c WHERE source_id IS NOT NULL)) AS indexed_documents, (SELECT count(*) FROM c) AS passages, (SELECT count(embedding) FROM c) AS passages_with_vectors""",
     "export_nested_answers": _T
     + """ SELECT id, len(coalesce(qa_data, [])) AS n, list_transform(coalesce(qa_data, []), lambda x, i: concat_ws('|', i, coalesce(x.text, ''), coalesce(x.answer, ''), CASE WHEN regexp_matches(coalesce(x.answer, ''), '__NB__') THEN 'answered' ELSE 'unanswered' END, coalesce(nullif(x.source, ''), '-'))) AS answers FROM e""",
