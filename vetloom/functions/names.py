@@ -126,6 +126,23 @@ def column_index(label: Column) -> Column:
     return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64) - 1
 
 
+def column_label(place: Column) -> Column:
+    """The letters of a spreadsheet column counted from 0: A, Z, AA; `?` for what is no place. Up to four letters."""
+    n = place.cast("long")
+    first = [0, 26, 26 + 26**2, 26 + 26**2 + 26**3, 26 + 26**2 + 26**3 + 26**4]  # where labels of one, two, ... letters begin
+    out = F.lit("?")
+    for k in range(4, 0, -1):
+        rest = n - first[k - 1]
+        letters = F.concat(*[F.char(F.lit(65) + F.pmod(F.floor(rest / 26**i), F.lit(26))) for i in range(k - 1, -1, -1)])
+        out = F.when((n >= first[k - 1]) & (n < first[k]), letters).otherwise(out)
+    return out
+
+
+def without_ending(name: Column) -> Column:
+    """A file name without its last ending: what a vendor is called until someone says otherwise."""
+    return F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^.]+$", "")
+
+
 def delimiter(sample: Column) -> Column:
     """The most frequent of comma, semicolon and tab in the first 4,000 characters; ties in that order, a comma without any."""
     head = F.substring(F.coalesce(sample, F.lit("")), 1, 4000)

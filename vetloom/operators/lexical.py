@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import stored
+from ..session import spread, stored
 
 K1, B, SATURATION, IDF_FLOOR = 1.5, 0.75, 6.0, 0.05
 COVERAGE, STRENGTH, PHRASE_BONUS = 0.6, 0.4, 0.15
@@ -47,7 +47,7 @@ class LexicalIndex:
 
 def build(passages: DataFrame) -> LexicalIndex:
     """The index of (passage_id, ord, text); the terms of passages are written once into the shared folder."""
-    tok = passages.select("passage_id", "ord", T.tokenize(F.col("text")).alias("tokens"))
+    tok = spread(passages).select("passage_id", "ord", T.tokenize(F.col("text")).alias("tokens"))
     tok = stored(tok.withColumn("size", F.size("tokens")))
     terms = tok.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = tok.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("mean_size"))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import questions as Q
-from ..session import cut
+from ..session import cut, spread
 
 STITCH_BELOW, ITEM_BELOW = 300, 400
 # Least mean score of a question column, weight of its header, rows that are scored, rows a header is looked for in, longest header cell.
@@ -72,7 +72,7 @@ def extracted_items(docs: DataFrame) -> DataFrame:
             d, n, j, m, s = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.string()), pa.array(n, pa.int32()), pa.array(j, pa.string()), pa.array(m, pa.string()), pa.array(s, pa.int32())], ["doc_id", "ord", "joined", "marker", "lines"])
 
-    return docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id string, ord int, joined string, marker string, lines int")
+    return spread(docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))).mapInArrow(run, "doc_id string, ord int, joined string, marker string, lines int")
 
 
 def numbered(rows: DataFrame, group: str, order: str, into: str = "index") -> DataFrame:

@@ -12,6 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes a task should at least have before spread() leaves the layout to the files.
+SMALL = 4 << 20
+
 
 def get_spark(app: str = "vetloom", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own session."""
@@ -51,6 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all tasks where its files are so small that they give few; rows and results stay the same."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks) if size < tasks * SMALL else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one for a local master, else an error."""
     sc = spark.sparkContext
