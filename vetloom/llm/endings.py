@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Entries a task gathers before it hands them on.
 FLUSH = 400_000
 #: Least share of ends after a pair of words, and least count of a word, to be trusted.
@@ -66,7 +68,7 @@ def follow(texts: Iterable[DataFrame]) -> DataFrame:
                 yield flush()
         yield flush()
 
-    parts = [t.select(F.col(t.columns[0]).cast("string").alias("t")).dropna().mapInArrow(run, "pair string, word long, mark long") for t in texts]
+    parts = [spread(t.select(F.col(t.columns[0]).cast("string").alias("t")).dropna()).mapInArrow(run, "pair string, word long, mark long") for t in texts]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)

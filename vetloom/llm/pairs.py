@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .reading import FUNCTION_WORDS
 from .truncation import Truncation
 
@@ -144,7 +144,7 @@ def counts(pairs: DataFrame) -> tuple[int, dict[str, int], dict[str, dict[str, i
                 yield flush()
         yield flush()
 
-    src = pairs.select(F.col("question").cast("string"), F.col("answer").cast("string"))
+    src = spread(pairs.select(F.col("question").cast("string"), F.col("answer").cast("string")))
     sums = stored(src.mapInArrow(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = {r.kind: r.n for r in sums.filter("key = ''").collect()}  # a row for each language
     n = total.get("all", 0)
@@ -434,8 +434,5 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], ["table_name", "record_id", "pair_no", "defect"])
 
     asked = marked.select("table_name", "record_id", "pair_no", "question", "answer", "cut")
-    # Tagging costs far more than moving: few files of a small table are spread over all tasks; larger ones have enough splits.
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    if marked.count() < tasks * 20_000:
-        asked = asked.repartition(tasks)
+    asked = spread(asked)  # tagging costs far more than moving
     return asked.mapInArrow(run, "table_name string, record_id string, pair_no int, defect string").filter("defect is not null")

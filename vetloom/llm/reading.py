@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import cut, spread, stored
 
 #: Grid steps of the share of long words and of the logarithm of the mean sentence length; letters of a long word.
 STEP_SHARE, STEP_LENGTH, LONG = 0.015, 0.05, 9
@@ -83,7 +83,7 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(lang, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], [key, "words", "lang", "a", "b"])
 
     src = docs.select(key, F.col(text).cast("string")).dropna()
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, words long, lang string, a int, b int")
+    return spread(src).mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, words long, lang string, a int, b int")
 
 
 def _offsets() -> list[tuple[int, int, int, float]]:

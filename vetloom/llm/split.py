@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 LIMIT, OVERLAP = 1100, 120
 #: What is not counted at either end of a text.
@@ -139,7 +139,7 @@ def split_pieces(chunks: DataFrame, key: str = "id", text: str = "text", limit:
             )
 
     long = chunks.select(key, F.col(text).cast("string").alias("_text")).filter(F.length(F.btrim("_text", F.lit(SPACE))) > limit)
-    return long.mapInArrow(run, f"`{key}` {long.schema[0].dataType.simpleString()}, piece_no int, n_pieces int, piece string")
+    return spread(long).mapInArrow(run, f"`{key}` {long.schema[0].dataType.simpleString()}, piece_no int, n_pieces int, piece string")
 
 
 def renumbered(parts: DataFrame, group: str, order: list[str], count: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from . import endings
 
 #: Names of the ways to count a text's length.
@@ -55,7 +55,7 @@ def ends(table: DataFrame, name: str, key: str, text: str, source: str) -> DataF
             )
 
     src = table.select(F.col(key).cast("string").alias("record_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("t")).filter("record_id is not null and t is not null")
-    out = src.mapInArrow(run, "record_id string, source string, verdict string, pair string, last string, proper boolean, closed boolean, sizes array<int>")
+    out = spread(src).mapInArrow(run, "record_id string, source string, verdict string, pair string, last string, proper boolean, closed boolean, sizes array<int>")
     return out.withColumn("table_name", F.lit(name)).withColumn("source", F.coalesce("source", F.lit("")))
 
 
