@@ -9,7 +9,8 @@ the trees were not fitted on, are compared with all rows by brute force, and the
 share of their true neighbours lies in visited cells; where MAX_VISITS cells don't reach it, the width is searched
 exactly, each query meeting all vectors. Queries and members of a cell meet in one block matrix product per task.
 
-Vectors travel in half precision, which moves a cosine by at most MARGIN. A query keeps k + SPARE candidates; those whose
+Vectors travel in half precision, or in one byte a component where only cosines above a least one are asked for; that moves
+a cosine by at most the MARGIN of the kind. A query keeps k + SPARE candidates; those whose
 place or side of the least cosine that error could change are ranked again by full-precision cosines, and where even the
 spare candidates lie within the error of the k-th place (dense groups), the query meets its cells again in full precision.
 
@@ -41,10 +42,15 @@ SAMPLE_ROWS, SAMPLE_BYTES, LEAF_ROWS = 24_000, 128 << 20, 512
 LEAF_SAMPLE, BRANCH, ROUNDS, TREES = 12, 16, 6, 16
 #: Members of a cell that one task compares with at once.
 BLOCK_ROWS = 8192
-#: Held-out queries of the calibration, share of their neighbours to be found, most cells a query visits before all are compared.
-CALIBRATION, RECALL, MAX_VISITS = 512, 0.995, 256
-#: Half precision keeps 11 bits: a unit vector moves by at most 2**-11, a cosine by twice that.
-MARGIN = 0.001
+#: Held-out queries of the calibration, share of their neighbours to be found (of those above a least cosine: their number
+#: gives an estimate to some 0.015 only, so no share closer to 1 can be told), most cells a query visits before all are compared.
+CALIBRATION, RECALL, RECALL_ABOVE, MAX_VISITS = 768, 0.995, 0.98, 256
+#: Neighbours above the least cosine that the held-out queries must have between them; with fewer, the nearest count whatever their cosine.
+ENOUGH = 32
+#: How far rounding moves a cosine. Half precision keeps 11 bits: a unit vector moves by at most 2**-11, a cosine by twice
+#: that. Bytes move each component by up to 1/254 of the largest; as these errors are independent, a cosine moves by some
+#: 0.0005, and more than 20 times that never occurs.
+MARGIN = {np.float16: 0.001, np.int8: 0.012, np.float64: 1e-12}
 #: Candidates kept beyond the k-th.
 SPARE = 22
 
@@ -167,12 +173,12 @@ FLAT = Cells(np.zeros((1, 1), np.float32), 1)
 def units(codes: pa.Array, kind: type = np.float16) -> np.ndarray:
     """Unit float vectors of packed ones of one width."""
     codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-    x = np.frombuffer(b"".join(codes.to_pylist()), kind).astype(np.float32 if kind is np.float16 else kind).reshape(len(codes), -1)
+    x = np.frombuffer(b"".join(codes.to_pylist()), kind).astype(np.float64 if kind is np.float64 else np.float32).reshape(len(codes), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def packed(chunks: DataFrame, key: str, vector: str, width: str) -> DataFrame:
-    """(id, d int, digest binary, code binary) of the usable vectors: unit vectors in half precision."""
+def packed(chunks: DataFrame, key: str, vector: str, width: str, kind: type = np.float16) -> DataFrame:
+    """(id, d int, digest binary, code binary) of the usable vectors: their directions in half precision or bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +195,7 @@ def packed(chunks: DataFrame, key: str, vector: str, width: str) -> DataFrame:
                 ok = np.isfinite(top) & (top > 0)
                 x, rows, top = np.ascontiguousarray(x[ok]), rows[ok], top[ok]
                 c = x / top[:, None]
-                c = (c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.float16)
+                c = np.rint(c * 127).astype(np.int8) if kind is np.int8 else (c / np.linalg.norm(c, axis=1, keepdims=True)).astype(kind)
                 at.append(rows)
                 d += [int(w)] * len(rows)
                 digest += [hashlib.blake2b(v, digest_size=16).digest() for v in x + 0.0]
@@ -205,8 +211,9 @@ def packed(chunks: DataFrame, key: str, vector: str, width: str) -> DataFrame:
 class Index:
     """Packed vectors, one per class of exact copies, with the fitted trees; search() finds neighbours."""
 
-    def __init__(self, chunks: DataFrame, key: str = "id", vector: str = "embedding", width: str = "embedding_dims"):
-        rows = stored(packed(chunks, key, vector, width))
+    def __init__(self, chunks: DataFrame, key: str = "id", vector: str = "embedding", width: str = "embedding_dims", kind: type = np.float16):
+        rows = stored(packed(chunks, key, vector, width, kind))
+        self.kind, self.margin = kind, MARGIN[kind]
         self.spark = chunks.sparkSession
         #: (id, v): the vectors in full precision
         self.raw = chunks.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -231,7 +238,7 @@ class Index:
             part = got.take(pa.array(np.flatnonzero(dims == d)))
             _, one = np.unique(np.array(part["digest"].to_pylist()), return_index=True)  # in order of the digests: shuffled
             part = part.take(pa.array(one[: most[d] + CALIBRATION]))
-            x = units(part["code"])
+            x = units(part["code"], kind)
             held = min(CALIBRATION, len(x) // 4)
             self.asked[d] = (part["id"].to_pylist()[:held], x[:held])
             x = x[held:]
@@ -244,7 +251,7 @@ class Index:
         None where MAX_VISITS cells miss it. Where hardly any held-out query has a neighbour above the least cosine, the k
         nearest count whatever their cosine.
         """
-        shipped = self.spark.sparkContext.broadcast((self.cells, self.asked))
+        shipped, kind = self.spark.sparkContext.broadcast((self.cells, self.asked)), self.kind
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells, asked = shipped.value
@@ -256,7 +263,7 @@ class Index:
                         continue
                     ids, q = asked[int(d)]
                     part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                    x = units(part.column("code"))
+                    x = units(part.column("code"), kind)
                     s = q @ x.T
                     s[np.array(ids, dtype=object)[:, None] == np.array(part.column("id").to_pylist(), dtype=object)[None, :]] = -2
                     top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
@@ -276,7 +283,7 @@ class Index:
         visits: dict[int, tuple[int, int] | None] = {}
         for d, cells in self.cells.items():
             mine = near[near.d == d]
-            mine = mine[mine.s >= least] if (mine.s >= least).sum() >= min(64, len(mine)) else mine
+            mine = mine[mine.s >= least] if (mine.s >= least).sum() >= ENOUGH else mine
             if mine.empty:  # too few vectors to hold any out
                 visits[d] = None
                 continue
@@ -296,11 +303,11 @@ class Index:
     def search(self, k: int = 10, least: float = -1.0, queries: str | None = None, recall: float = RECALL) -> DataFrame:
         """(id, other, cosine double, place int): the k nearest representatives of each, or of those with a member that matches the condition.
 
-        Cosines above the least only; they are exact where a rank or the least cosine hangs on them, else to within MARGIN.
+        Cosines above the least only; they are exact where a rank or the least cosine hangs on them, else to within the margin of the kind.
         """
         visits = self.calibrate(k, least, recall)
         # A width without trees, or whose visits miss the recall, has one cell, cut into blocks that every query goes to.
-        shipped = self.spark.sparkContext.broadcast({d: (c, visits[d]) for d, c in self.cells.items() if visits[d]})
+        shipped, kind = self.spark.sparkContext.broadcast({d: (c, visits[d]) for d, c in self.cells.items() if visits[d]}), self.kind
         rows = self.rows.withColumn("asks", F.lit(True))
         if queries:
             asking = self.members.filter(queries).select(F.col("rep").alias("id")).distinct().withColumn("copy_asks", F.lit(True))
@@ -315,7 +322,7 @@ class Index:
                         rows = np.flatnonzero((dims == d) & mine)
                         if len(rows):
                             part = batch.take(pa.array(rows))
-                            at = cells.route(units(part.column("code")), visit)
+                            at = cells.route(units(part.column("code"), kind), visit)
                             keep = at >= 0
                             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep.sum(axis=1))), pa.int32()), pa.array(at[keep], pa.int64()))
                             yield pa.RecordBatch.from_arrays([*part.select(["id", "d", "code", "asks"]).columns, lists], ["id", "d", "code", "asks", "cells"])
@@ -323,10 +330,10 @@ class Index:
         routed = stored(rows.mapInArrow(route, "id string, d int, code binary, asks boolean, cells array<long>"))
         crowded = routed.groupBy("d", F.element_at("cells", 1).alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS)
         several = self.spark.createDataFrame([(r.d, r.cell, -(-r.n // BLOCK_ROWS)) for r in crowded.collect()], "d int, cell long, n long")
-        near = stored(self._ranked(self._met(routed, several, k, least, np.float16), k + SPARE))
+        near = stored(self._ranked(self._met(routed, several, k, least, kind), k + SPARE))
         # Dense groups: the spare candidates are all within the error of the k-th place, so there may be more such.
         at = F.max(F.when(F.col("place") == k, F.col("cosine"))).over(W.partitionBy("id"))
-        last = near.withColumn("kth", at).filter((F.col("place") == k + SPARE) & (F.col("cosine") >= F.col("kth") - 2 * MARGIN)).select("id")
+        last = near.withColumn("kth", at).filter((F.col("place") == k + SPARE) & (F.col("cosine") >= F.col("kth") - 2 * self.margin)).select("id")
         dense = stored(last)
         exact = near.limit(0)
         if not dense.isEmpty():
@@ -340,8 +347,8 @@ class Index:
         # The others: full precision where the error could change who is among the k, or on which side of the least a pair lies.
         w = W.partitionBy("id")
         kth = F.max(F.when(F.col("place") == k, F.col("cosine"))).over(w)
-        rest = rest.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("cosine") >= F.col("kth") - 2 * MARGIN))
-        unsure = (F.count(F.lit(1)).over(w) > k) | (F.max((F.abs(F.col("cosine") - least) <= MARGIN).cast("int")).over(w) > 0) | F.lit(least <= -1)
+        rest = rest.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("cosine") >= F.col("kth") - 2 * self.margin))
+        unsure = (F.count(F.lit(1)).over(w) > k) | (F.max((F.abs(F.col("cosine") - least) <= self.margin).cast("int")).over(w) > 0) | F.lit(least <= -1)
         rest = stored(rest.withColumn("unsure", unsure).drop("kth", "place"))
         sure = rest.filter(~F.col("unsure")).drop("unsure")
         again = self._cosines(rest.filter("unsure").select("id", "other"))
@@ -366,7 +373,7 @@ class Index:
         own = F.pmod(F.xxhash64("id"), F.col("n"))
         sent = sent.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array(own))))
         sent = sent.withColumn("member", (F.col("pos") == 0) & (F.col("block") == own)).select("id", "d", "code", "asks", "cell", "block", "member")
-        wanted, floor = k + SPARE, least - MARGIN
+        wanted, floor = k + SPARE, least - self.margin
 
         def meet(table: pa.Table) -> pa.Table:
             x = units(table["code"], kind)
@@ -444,13 +451,13 @@ class Index:
         return out.filter(queries) if queries else out
 
 
-def similar_pairs(chunks: DataFrame, least: float = 0.90, k: int = 10, key: str = "id", vector: str = "embedding", width: str = "embedding_dims") -> DataFrame:
+def similar_pairs(chunks: DataFrame, least: float = 0.90, k: int = 10, key: str = "id", vector: str = "embedding", width: str = "embedding_dims", recall: float = RECALL_ABOVE) -> DataFrame:
     """(chunk_id_a, chunk_id_b): pairs of ids with at least this cosine, one being among the k most similar of the other.
 
     Of more than k exact copies each has the k with the smallest ids.
     """
-    index = Index(chunks, key, vector, width)
-    pairs = index.expanded(stored(index.search(k, least)), k)
+    index = Index(chunks, key, vector, width, np.int8)
+    pairs = index.expanded(stored(index.search(k, least, recall=recall)), k)
     return pairs.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
