@@ -53,6 +53,8 @@ ENOUGH = 32
 MARGIN = {np.float16: 0.001, np.int8: 0.012, np.float64: 1e-12}
 #: Candidates kept beyond the k-th.
 SPARE = 22
+#: Most classes of copies that are broadcast (some 60 bytes each).
+FEW = 200_000
 
 
 class Tree:
@@ -219,11 +221,14 @@ class Index:
         self.raw = chunks.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
         per = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
         self.several = stored(per.filter("n > 1"))
-        many = rows.join(self.several.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id"), F.first("d").alias("d"), F.first("code").alias("code"))
+        # Few classes are sent to the vectors, so that these need not be shuffled to be told apart; many are joined by shuffle.
+        few = self.several.count() <= FEW
+        classes = F.broadcast(self.several) if few else self.several
+        many = rows.join(classes.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id"), F.first("d").alias("d"), F.first("code").alias("code"))
         #: one row for each distinct vector
-        self.rows = rows.join(self.several.select("digest"), "digest", "left_anti").select("id", "d", "code").unionByName(many.select("id", "d", "code"))
+        self.rows = rows.join(classes.select("digest"), "digest", "left_anti").select("id", "d", "code").unionByName(many.select("id", "d", "code"))
         #: (rep, id) of all members of classes that hold more than one id
-        self.members = rows.join(self.several.select("digest", "rep"), "digest").select("rep", "id").distinct()
+        self.members = rows.join(classes.select("digest", "rep"), "digest").select("rep", "id").distinct()
         counts = {r.d: r.n for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(TREES).collect()}
         most = {d: min(SAMPLE_ROWS, max(LEAF_SAMPLE, SAMPLE_BYTES // (4 * d * len(counts)))) for d in counts}
         chosen = F.lit(False)
