@@ -334,7 +334,8 @@ class Index:
 
         routed = stored(rows.mapInArrow(route, "id string, d int, code binary, asks boolean, cells array<long>"))
         crowded = routed.groupBy("d", F.element_at("cells", 1).alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS)
-        several = self.spark.createDataFrame([(r.d, r.cell, -(-r.n // BLOCK_ROWS)) for r in crowded.collect()], "d int, cell long, n long")
+        parts = [(r.d, r.cell, -(-r.n // BLOCK_ROWS)) for r in crowded.collect()]
+        several = self.spark.createDataFrame(parts, "d int, cell long, n long") if parts else None
         near = stored(self._ranked(self._met(routed, several, k, least, kind), k + SPARE))
         # Dense groups: the spare candidates are all within the error of the k-th place, so there may be more such.
         at = F.max(F.when(F.col("place") == k, F.col("cosine"))).over(W.partitionBy("id"))
@@ -371,10 +372,14 @@ class Index:
         full = self.raw.join(need, "id", "left_semi").filter("v is not null and size(v) > 0").dropDuplicates(["id"]).mapInArrow(run, "id string, code binary")
         return rows.join(full, "id")
 
-    def _met(self, routed: DataFrame, several: DataFrame, k: int, least: float, kind: type) -> DataFrame:
+    def _met(self, routed: DataFrame, several: DataFrame | None, k: int, least: float, kind: type) -> DataFrame:
         """(id, other, cosine): of each query the k + SPARE best members of each block of the cells it goes to."""
         sent = routed.select("id", "d", "code", "asks", F.posexplode("cells").alias("pos", "cell"))
-        sent = sent.join(F.broadcast(several), ["d", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(1)))  # a row for each crowded cell
+        # Without any crowded cell there is no join: an empty side found while running would make the exchange be planned and written again.
+        if several is None:
+            sent = sent.withColumn("n", F.lit(1).cast("long"))
+        else:
+            sent = sent.join(F.broadcast(several), ["d", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(1)))  # a row for each crowded cell
         own = F.pmod(F.xxhash64("id"), F.col("n"))
         sent = sent.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array(own))))
         sent = sent.withColumn("member", (F.col("pos") == 0) & (F.col("block") == own)).select("id", "d", "code", "asks", "cell", "block", "member")
