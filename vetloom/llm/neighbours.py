@@ -53,7 +53,7 @@ ENOUGH = 32
 MARGIN = {np.float16: 0.001, np.int8: 0.012, np.float64: 1e-12}
 #: Candidates kept beyond the k-th.
 SPARE = 22
-#: Most classes of copies that are broadcast (some 60 bytes each).
+#: Most classes of copies, or ids, that are broadcast (some 60 bytes each).
 FEW = 200_000
 
 
@@ -210,6 +210,12 @@ def packed(chunks: DataFrame, key: str, vector: str, width: str, kind: type = np
     return src.mapInArrow(run, "id string, d int, digest binary, code binary")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, computed once; to be broadcast if they are at most FEW, so that the vectors they are looked up in need no shuffle."""
+    ids = stored(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 class Index:
     """Packed vectors, one per class of exact copies, with the fitted trees; search() finds neighbours."""
 
@@ -348,7 +354,7 @@ class Index:
             some = some.withColumn("cells", F.when(F.col("asks"), F.col("cells")).otherwise(F.slice("cells", 1, 1)))
             need = some.select("id", "d", "asks", F.posexplode("cells").alias("pos", "cell")).join(cells, ["d", "cell"], "left_semi")
             need = need.groupBy("id", "d", "asks").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda x: x["cell"]).alias("cells"))
-            exact = self._ranked(self._met(self._full(need), several, k, least, np.float64), k).select(near.columns)
+            exact = self._ranked(self._met(self._full(stored(need)), several, k, least, np.float64), k).select(near.columns)
         rest = near.join(dense, "id", "left_anti")
         # The others: full precision where the error could change who is among the k, or on which side of the least a pair lies.
         w = W.partitionBy("id")
@@ -368,8 +374,7 @@ class Index:
                 code = [(x / np.abs(x).max()).tobytes() for x in map(np.array, batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.binary())], ["id", "code"])
 
-        need = rows.select("id").distinct()
-        full = self.raw.join(need, "id", "left_semi").filter("v is not null and size(v) > 0").dropDuplicates(["id"]).mapInArrow(run, "id string, code binary")
+        full = self.raw.join(_few(rows.select("id").distinct()), "id", "left_semi").filter("v is not null and size(v) > 0").dropDuplicates(["id"]).mapInArrow(run, "id string, code binary")
         return rows.join(full, "id")
 
     def _met(self, routed: DataFrame, several: DataFrame | None, k: int, least: float, kind: type) -> DataFrame:
@@ -434,7 +439,7 @@ class Index:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["id", "other", "cosine"])
 
         need = pairs.select("id").union(pairs.select("other")).distinct()
-        raw = stored(self.raw.join(need, "id", "left_semi").filter("v is not null and size(v) > 0").dropDuplicates(["id"]))
+        raw = stored(self.raw.join(_few(need), "id", "left_semi").filter("v is not null and size(v) > 0").dropDuplicates(["id"]))
         both = pairs.join(raw.select("id", F.col("v").alias("u")), "id").join(raw.select(F.col("id").alias("other"), "v"), "other")
         return both.select("id", "other", "u", "v").mapInArrow(run, "id string, other string, cosine double")
 
